@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from bundlewright.llm import packing, quality_rules, sharding, token_counts, transducer
+from bundlewright.llm import language_id, packing, quality_rules, sharding, token_counts, transducer
 
-MODULES = (packing, quality_rules, sharding, token_counts, transducer)
+MODULES = (language_id, packing, quality_rules, sharding, token_counts, transducer)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
