@@ -26,9 +26,9 @@ it is split into the subtrees that do.
    all the way form a subtree of their own, which is treated again with
    eight times the reach, until none is left. So lengths have no bound.
 
-A stretch that repeats itself after fewer than ``WINDOW`` words is a run. Of the occurrences
-that start in one only those of its first two turns are listed; the longest repeat
-of the run with itself is among them, and takes in all other turns.
+A stretch that repeats itself after fewer than ``WINDOW`` words is a run, in which every turn would
+start as many repeats as turns follow. Anchors whose first windows all lie in its third or a later turn
+are passed over; the longest repeat of the run with itself starts before them, and takes in all that follow.
 
 Defined cases: a null or empty text has no words; texts of fewer than ``LEAST``
 words have no repeats; rows with the same id and text are one document; rows with the same id
