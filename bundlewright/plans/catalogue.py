@@ -1,4 +1,414 @@
-"""All queries of the engine by name, with SQL that gives the same rows."""
+"""All queries of the engine by name, with SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Files are documents: the name is ``source/doc_id``, the content the text. Queries are
+the items of ``benchmark``. Each runs over whole tables.
+"""
+
+from __future__ import annotations
+
+import re
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bundlewright.functions import paths, signatures, text
+from bundlewright.operators import chunking, evaluation, index, retrieval, selection
+from bundlewright.plans.engine import Engine
+from bundlewright.sources import files as sources
+
+TOP, EXACT, SLOTS = 50, 10, 32
+PATTERN = "[a-z]+tion[ .,]"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, content)."""
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file"), F.col("text").alias("content"))
+
+
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path): a path with folders and an extension for each document."""
+    docs = _table(spark, sf_dir, "documents")
+    ext = F.create_map(*(F.lit(x) for x in ("en", "rs", "fr", "py", "de", "TS", "es", "txt")))[F.col("lang")]
+    folder = F.when(F.col("source") == "src3", F.lit("vendor")).when(F.col("source") == "src4", F.lit("node_modules/pkg")).otherwise(F.lit("lib"))
+    return docs.select(F.concat(folder, F.lit("/"), "source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("path"))
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, query)."""
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def built(spark: SparkSession, sf_dir: str) -> index.Index:
+    return index.build_index(documents(spark, sf_dir), syntax=False, slots=SLOTS)
+
+
+def _by_place(df: DataFrame, chunks: DataFrame, *columns) -> DataFrame:
+    """With the chunk's file and first line in place of its id, which other engines can't compute."""
+    return df.join(chunks.select("chunk_id", "file", "start_line"), "chunk_id").select("file", "start_line", *columns)
+
+
+def chunk_lines(s, d, lines=chunking.LINES, overlap=chunking.OVERLAP):
+    return chunking.line_windows(documents(s, d), lines, overlap).select("file", "start_line", "end_line", "token_est", "text")
+
+
+def tokenize_tf(s, d):
+    ix = built(s, d)
+    return _by_place(ix.postings, ix.chunks, "term", "tf")
+
+
+def token_estimate(s, d):
+    return documents(s, d).select("file", text.token_estimate(F.coalesce("content", F.lit(""))).alias("token_est"))
+
+
+def term_df(s, d):
+    return built(s, d).term_stats
+
+
+def doc_len(s, d):
+    ix = built(s, d)
+    return _by_place(ix.doc_stats, ix.chunks, "dl")
+
+
+def corpus_stats(s, d):
+    return built(s, d).corpus_stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+def file_terms(s, d):
+    return built(s, d).file_terms
+
+
+def index_stats(s, d):
+    return built(s, d).stats()
+
+
+def bm25_score(s, d):
+    ix = built(s, d)
+    return _by_place(retrieval.bm25_scores(ix, asked(s, d)), ix.chunks, "query_id", F.round("score", 6).alias("score"))
+
+
+def bm25_topn(s, d):
+    ix = built(s, d)
+    top = retrieval.top_chunks(retrieval.bm25_scores(ix, asked(s, d)), ix.chunks, 10)
+    return retrieval.normalised(top).select("query_id", "i", "file", "start_line", F.round("score", 6).alias("score"), F.round("rel", 6).alias("rel"))
+
+
+def score_cutoff(s, d):
+    return Engine(built(s, d)).ranked(asked(s, d), TOP, 0.5).select("query_id", "i", "file", "start_line", F.round("rel", 6).alias("rel"))
+
+
+def _good_files(s, d):
+    good = _table(s, d, "labels").where("quality = 1").select("doc_id")
+    docs = _table(s, d, "documents").join(good, "doc_id", "left_semi")
+    return docs.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file"))
+
+
+def select_files(s, d):
+    top = Engine(built(s, d)).ranked(asked(s, d), TOP, files=_good_files(s, d))
+    return top.select("query_id", "i", "file", "start_line", F.round("score", 6).alias("score"))
+
+
+def prescreen_candidates(s, d):
+    blank = s.createDataFrame([(-1, "a b c")], "query_id long, query string")
+    return retrieval.prescreen(asked(s, d).unionByName(blank), built(s, d).file_terms)
+
+
+def minhash_sig(s, d):
+    ix = built(s, d)
+    return _by_place(ix.minhash.where("sig is not null"), ix.chunks, F.array_join("sig", ",").alias("sig"))
+
+
+def _tops(s, d, topk=TOP):
+    ix = built(s, d)
+    top = Engine(ix).ranked(asked(s, d), topk)
+    return top, retrieval.similarity_pairs(top, ix.minhash), ix
+
+
+def jaccard_est(s, d):
+    return _tops(s, d, 10)[1].select("query_id", "i", "j", F.round("sim", 6).alias("sim"))
+
+
+def jaccard_exact(s, d):
+    ix = built(s, d)
+    top = Engine(ix).ranked(asked(s, d), 10).select("query_id", "i", "chunk_id")
+    sets = top.join(ix.chunks.select("chunk_id", text.unique_tokens(F.col("text")).alias("t")), "chunk_id")
+    pairs = sets.select("query_id", "i", F.col("t").alias("a")).join(sets.select("query_id", F.col("i").alias("j"), F.col("t").alias("b")), "query_id").where("i < j")
+    return pairs.select("query_id", "i", "j", F.round(F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")), 6).alias("jaccard"))
+
+
+def similarity_pairs(s, d):
+    return _tops(s, d)[1].where("sim > 0.25").select("query_id", "i", "j", F.round("sim", 6).alias("sim"))
+
+
+def _items(top: DataFrame) -> DataFrame:
+    return top.select("query_id", "i", "rel", F.col("token_est").alias("tok"))
+
+
+def greedy_select(s, d):
+    top, _, _ = _tops(s, d)
+    return selection.greedy(_items(top)).where("chosen").select("query_id", "i", "tok")
+
+
+def qubo_energy(s, d):
+    top, pairs, _ = _tops(s, d)
+    return selection.energy(selection.greedy(_items(top)), pairs).select("query_id", F.round("energy", 6).alias("energy"))
+
+
+def qubo_exact(s, d):
+    top, pairs, _ = _tops(s, d, EXACT)
+    return selection.exact(_items(top), pairs, EXACT)
+
+
+def search_bundle(s, d):
+    found = Engine(built(s, d)).search(asked(s, d))
+    return found.select("query_id", "rank", "file", "start_line", "end_line", F.round("score", 6).alias("score"))
+
+
+def serve_json(s, d):
+    ask = _table(s, d, "benchmark").select(F.col("item_id").alias("request_id"), F.to_json(F.struct(F.col("text").alias("query"))).alias("line"))
+    return Engine(built(s, d)).serve(ask)
+
+
+def path_filters(s, d):
+    return sources.kept_paths(named(s, d), ("rs", "ts"))
+
+
+def glob_exclude(s, d):
+    return sources.kept_paths(named(s, d), ("",), ("*/src1/*", "doc_*7.py", "lib/src?.rs"))
+
+
+def language_detect(s, d):
+    return named(s, d).select("path", paths.language_of(F.col("path")).alias("language"))
+
+
+def _golden(s, d):
+    return asked(s, d).select("query_id", F.array(F.lower("query")).alias("needles"))
+
+
+def recall_mrr(s, d):
+    ix = built(s, d)
+    top = retrieval.top_chunks(retrieval.bm25_scores(ix, asked(s, d)), ix.chunks, 10)
+    return evaluation.recall_and_rank(top, evaluation.relevant_chunks(_golden(s, d), ix.chunks))
+
+
+def diversity(s, d):
+    ix = built(s, d)
+    top = retrieval.top_chunks(retrieval.bm25_scores(ix, asked(s, d)), ix.chunks, 10).where("i <= 5")
+    return evaluation.diversity(top.select("query_id", "i", "chunk_id").join(ix.chunks.select("chunk_id", "text"), "chunk_id"))
+
+
+def grep_counts(s, d):
+    return evaluation.match_counts(documents(s, d), PATTERN)
+
+
+def size_percentiles(s, d):
+    return evaluation.percentiles(_table(s, d, "documents"), "n_chars")
+
+
+def classify_queries(s, d):
+    return _table(s, d, "conversations").select("conv_id", "turn", text.classify_query(F.coalesce("text", F.lit(""))).alias("kind"))
+
+
+def result_lines(s, d):
+    top = Engine(built(s, d)).ranked(asked(s, d), 10)
+    lines = F.format_string("%s:%d-%d  score=%.3f", "file", "start_line", "end_line", F.round("rel", 6))
+    return top.select("query_id", "i", lines.alias("line"))
+
+
+def synthetic_corpus(s, d, n=10_000):
+    return sources.synthetic_chunks(s, n).select("file", "start_line", "end_line", "token_est", "text")
+
+
+def unit_chunks(s, d):
+    """Documents have no syntax, so all are cut by lines; the synthetic chunks are functions."""
+    made = sources.synthetic_chunks(s, 10_000).groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start_line", "text"))), lambda x: x["text"]), "").alias("content"))
+    return chunking.chunks(made).select("file", "start_line", "end_line")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        chunk_lines, tokenize_tf, token_estimate, term_df, doc_len, corpus_stats, file_terms, index_stats, bm25_score, bm25_topn, score_cutoff,
+        select_files, prescreen_candidates, minhash_sig, jaccard_est, jaccard_exact, similarity_pairs, greedy_select, qubo_energy, qubo_exact,
+        search_bundle, serve_json, path_filters, glob_exclude, language_detect, recall_mrr, diversity, grep_counts, size_percentiles,
+        classify_queries, result_lines, synthetic_corpus, unit_chunks,
+    )
+}
+QUERIES["chunk_lines_small"] = partial(chunk_lines, lines=8, overlap=2)
+
+
+# SQL. Each name stands for a common table; a query's text has those that it needs.
+
+def _lines(lines: int, overlap: int) -> str:
+    return rf"""
+  SELECT file, k * {lines - overlap} + 1 AS start_line, least(k * {lines - overlap} + {lines}, len(all_lines)) AS end_line,
+    array_to_string(all_lines[k * {lines - overlap} + 1 : k * {lines - overlap} + {lines}], chr(10)) AS text
+  FROM (SELECT file, all_lines, unnest(range(CAST(greatest(0, ceil((len(all_lines) - {lines}) / {lines - overlap}.0)) AS BIGINT) + 1)) AS k
+    FROM (SELECT file, list_transform(CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END, lambda x: regexp_replace(x, '\r$', '')) AS all_lines
+      FROM (SELECT file, string_split(content, chr(10)) AS parts FROM files WHERE content <> '')))"""
+
+
+_SPLIT = r"list_filter(string_split_regex({}, '[^\p{{L}}\p{{N}}_]+'), lambda w: octet_length(encode(w)) >= 3)"
+_TRIGRAMS = "list_distinct(list_transform(range(1, greatest(len(h) // 2 - 1, 1)), lambda k: substr(h, 2 * k - 1, 6)))"
+
+
+def _slots() -> str:
+    pairs = ", ".join(f"{{'a': {a}::BIGINT, 'b': {b}::BIGINT}}" for a, b in signatures.coefficients(SLOTS))
+    return f"list_transform([{pairs}], lambda p: list_min(list_transform(hs, lambda h: (p.a * h + p.b) % {signatures.PRIME})))"
+
+
+COMMON = {
+    "files": "SELECT concat_ws('/', source, doc_id::VARCHAR) AS file, text AS content FROM documents",
+    "chunks": _lines(chunking.LINES, chunking.OVERLAP),
+    "queries": "SELECT item_id AS query_id, text AS query FROM benchmark",
+    "all_tokens": f"SELECT file, start_line, lower(unnest({_SPLIT.format('text')})) AS term FROM chunks",
+    "postings": "SELECT file, start_line, term, count(*) AS tf FROM all_tokens GROUP BY ALL",
+    "term_stats": "SELECT term, count(*) AS df FROM postings GROUP BY term",
+    "doc_stats": "SELECT file, start_line, sum(tf) AS dl FROM postings GROUP BY ALL",
+    "corpus": "SELECT count(*) AS n_docs, greatest(1.0, sum(dl) / count(*)) AS avgdl FROM doc_stats",
+    "file_terms": f"SELECT DISTINCT file, lower(unnest({_SPLIT.format('content')})) AS term FROM files",
+    "q_terms": f"SELECT DISTINCT query_id, lower(unnest({_SPLIT.format('query')})) AS term FROM queries",
+    "scores": f"""SELECT query_id, p.file, p.start_line,
+      sum(ln((n_docs - df + 0.5) / (df + 0.5) + 1) * (tf * {retrieval.K1 + 1}) / (tf + {retrieval.K1} * (1 - {retrieval.B} + {retrieval.B} * dl / avgdl))) AS score
+      FROM q_terms q JOIN postings p USING (term) JOIN term_stats t USING (term)
+      JOIN doc_stats s ON p.file = s.file AND p.start_line = s.start_line CROSS JOIN corpus GROUP BY ALL""",
+    "ordered": """SELECT query_id, file, start_line, score, row_number() OVER (PARTITION BY query_id
+      ORDER BY round(score, 6) DESC, string_split(file, '/'), start_line) AS i FROM scores""",
+    "top50": """SELECT query_id, i, o.file, o.start_line, c.end_line, c.text, score,
+      score / greatest(1e-6, max(score) OVER (PARTITION BY query_id)) AS rel, greatest(1, octet_length(encode(c.text)) // 4) AS tok
+      FROM ordered o JOIN chunks c ON o.file = c.file AND o.start_line = c.start_line WHERE i <= 50""",
+    "hashed": """SELECT file, start_line, list(('0x' || substr(md5(term), 1, 7))::BIGINT) AS hs FROM (SELECT DISTINCT file, start_line, term FROM postings) GROUP BY ALL""",
+    "signed": f"SELECT file, start_line, {_slots()} AS sig FROM hashed",
+    "pairs": f"""SELECT a.query_id, a.i, b.i AS j,
+      len(list_filter(range(1, {SLOTS + 1}), lambda k: sa.sig[k] = sb.sig[k])) / {SLOTS}.0::DOUBLE AS sim
+      FROM top50 a JOIN top50 b ON a.query_id = b.query_id AND a.i < b.i
+      JOIN signed sa ON sa.file = a.file AND sa.start_line = a.start_line JOIN signed sb ON sb.file = b.file AND sb.start_line = b.start_line""",
+    "fits": f"""SELECT query_id, 0::BIGINT AS i, 0::BIGINT AS used, false AS chosen, 0::DOUBLE AS rel, 0::BIGINT AS tok FROM (SELECT DISTINCT query_id FROM top50)
+      UNION ALL SELECT t.query_id, t.i, f.used + CASE WHEN f.used + t.tok <= {selection.BUDGET} THEN t.tok ELSE 0 END, f.used + t.tok <= {selection.BUDGET}, t.rel, t.tok
+      FROM fits f JOIN top50 t ON t.query_id = f.query_id AND t.i = f.i + 1""",
+    "named": """SELECT concat(CASE source WHEN 'src3' THEN 'vendor' WHEN 'src4' THEN 'node_modules/pkg' ELSE 'lib' END, '/', source, '/doc_', doc_id, '.',
+      CASE lang WHEN 'en' THEN 'rs' WHEN 'fr' THEN 'py' WHEN 'de' THEN 'TS' WHEN 'es' THEN 'txt' END) AS path FROM documents""",
+    "relevant": "SELECT query_id, file, start_line FROM chunks JOIN queries ON contains(lower(text), lower(query))",
+    "grams": f"SELECT query_id, i, {_TRIGRAMS} AS t FROM (SELECT query_id, i, hex(encode(text)) AS h FROM top50 WHERE i <= 5)",
+    "made": """SELECT id, least(id // 40, 249) AS f, ('0x' || substr(md5('229/' || id), 1, 7))::BIGINT % 10000 AS r FROM range(10000) t(id)""",
+}
+
+
+def _sql(final: str, **own: str) -> str:
+    """The query, after all common tables that it names, directly or through others."""
+    tables = COMMON | own
+    needed: list[str] = []
+
+    def need(sql: str) -> None:
+        for name in tables:
+            if name not in needed and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", sql):
+                if tables[name] != sql:
+                    need(tables[name])
+                    needed.append(name)
+
+    need(final)
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({tables[n]})" for n in needed) + "\n" + final
+
+
+ORACLES = {
+    "chunk_lines": _sql("SELECT file, start_line::INT AS start_line, end_line::INT AS end_line, greatest(1, octet_length(encode(text)) // 4)::INT AS token_est, text FROM chunks"),
+    "chunk_lines_small": _sql(
+        "SELECT file, start_line::INT AS start_line, end_line::INT AS end_line, greatest(1, octet_length(encode(text)) // 4)::INT AS token_est, text FROM chunks",
+        chunks=_lines(8, 2),
+    ),
+    "tokenize_tf": _sql("SELECT file, start_line::INT AS start_line, term, tf::INT AS tf FROM postings"),
+    "token_estimate": _sql("SELECT file, greatest(1, octet_length(encode(coalesce(content, ''))) // 4)::INT AS token_est FROM files"),
+    "term_df": _sql("SELECT term, df::INT AS df FROM term_stats"),
+    "doc_len": _sql("SELECT file, start_line::INT AS start_line, dl::INT AS dl FROM doc_stats"),
+    "corpus_stats": _sql("SELECT n_docs, round(avgdl, 6) AS avgdl FROM corpus"),
+    "file_terms": _sql("SELECT file, term FROM file_terms"),
+    "index_stats": _sql(
+        """SELECT (SELECT count(DISTINCT file) FROM file_terms) AS n_files, (SELECT count(*) FROM chunks) AS n_chunks, n_docs, round(avgdl, 6) AS avgdl,
+        (SELECT count(*) FROM term_stats) AS vocabulary, (SELECT count(*) FROM doc_stats) AS n_signatures FROM corpus"""
+    ),
+    "bm25_score": _sql("SELECT file, start_line::INT AS start_line, query_id, round(score, 6) AS score FROM scores"),
+    "bm25_topn": _sql(
+        """SELECT query_id, i::INT AS i, file, start_line::INT AS start_line, round(score, 6) AS score,
+        round(score / greatest(1e-6, max(score) OVER (PARTITION BY query_id)), 6) AS rel FROM ordered WHERE i <= 10"""
+    ),
+    "score_cutoff": _sql("SELECT query_id, i::INT AS i, file, start_line::INT AS start_line, round(rel, 6) AS rel FROM top50 WHERE rel >= 0.5"),
+    "select_files": _sql(
+        "SELECT query_id, i::INT AS i, file, start_line::INT AS start_line, round(score, 6) AS score FROM ordered WHERE i <= 50",
+        ordered="""SELECT query_id, file, start_line, score, row_number() OVER (PARTITION BY query_id
+      ORDER BY round(score, 6) DESC, string_split(file, '/'), start_line) AS i FROM scores WHERE file IN
+      (SELECT concat_ws('/', source, doc_id::VARCHAR) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))""",
+    ),
+    "prescreen_candidates": _sql(
+        """SELECT DISTINCT query_id, file FROM q_terms JOIN file_terms USING (term)
+        UNION ALL SELECT -1 AS query_id, file FROM (SELECT DISTINCT file FROM file_terms)"""
+    ),
+    "minhash_sig": _sql("SELECT file, start_line::INT AS start_line, array_to_string(sig, ',') AS sig FROM signed"),
+    "jaccard_est": _sql("SELECT query_id, i::INT AS i, j::INT AS j, round(sim, 6) AS sim FROM pairs WHERE j <= 10"),
+    "jaccard_exact": _sql(
+        f"""SELECT a.query_id, a.i::INT AS i, b.i::INT AS j, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard
+        FROM sets a JOIN sets b ON a.query_id = b.query_id AND a.i < b.i""",
+        sets=f"SELECT query_id, i, list_distinct(list_transform({_SPLIT.format('text')}, lambda w: lower(w))) AS t FROM top50 WHERE i <= 10",
+    ),
+    "similarity_pairs": _sql("SELECT query_id, i::INT AS i, j::INT AS j, round(sim, 6) AS sim FROM pairs WHERE sim > 0.25"),
+    "greedy_select": _sql("SELECT query_id, i::INT AS i, tok::INT AS tok FROM fits WHERE chosen"),
+    "qubo_energy": _sql(
+        f"""SELECT q.query_id, round(-gain + {selection.LAMBDA} * coalesce(alike, 0) + {selection.MU} * power(greatest(0, used - {selection.BUDGET}), 2), 6) AS energy
+        FROM (SELECT query_id, sum(CASE WHEN chosen THEN rel ELSE 0 END) AS gain, sum(CASE WHEN chosen THEN tok ELSE 0 END) AS used FROM fits GROUP BY 1) q
+        LEFT JOIN (SELECT p.query_id, sum(sim) AS alike FROM pairs p JOIN fits a ON a.query_id = p.query_id AND a.i = p.i AND a.chosen
+          JOIN fits b ON b.query_id = p.query_id AND b.i = p.j AND b.chosen GROUP BY 1) s ON q.query_id = s.query_id"""
+    ),
+    "qubo_exact": _sql(
+        "SELECT query_id, mask::INT AS mask, energy FROM tried QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY energy, mask) = 1",
+        items=f"SELECT query_id, i, tok, score / max(score) OVER (PARTITION BY query_id) AS rel FROM top50 WHERE i <= {EXACT}",
+        masks=f"SELECT query_id, mask, sum(rel) AS gain, sum(tok) AS used FROM items JOIN range({1 << EXACT}) m(mask) ON (mask >> (i - 1)) & 1 = 1 GROUP BY ALL",
+        alike=f"""SELECT query_id, mask, sum(sim) AS alike FROM pairs JOIN range({1 << EXACT}) m(mask)
+          ON (mask >> (i - 1)) & 1 = 1 AND (mask >> (j - 1)) & 1 = 1 WHERE j <= {EXACT} GROUP BY ALL""",
+        tried=f"""SELECT m.query_id, m.mask, round(-gain + {selection.LAMBDA} * coalesce(a.alike, 0) + {selection.MU} * power(greatest(0, used - {selection.BUDGET}), 2), 6) AS energy
+          FROM masks m LEFT JOIN alike a ON m.query_id = a.query_id AND m.mask = a.mask
+          UNION ALL SELECT DISTINCT query_id, 0, 0.0 FROM items""",
+    ),
+    "path_filters": _sql(r"SELECT path FROM named WHERE lower(regexp_extract(path, '\.([^./]*)$', 1)) IN ('rs', 'ts') AND path NOT LIKE 'vendor/%' AND path NOT LIKE 'node_modules/%'"),
+    "glob_exclude": _sql(
+        r"SELECT path FROM named WHERE path NOT LIKE 'vendor/%' AND path NOT LIKE 'node_modules/%' AND path NOT LIKE '%/src1/%' AND NOT regexp_matches(path, '/doc_[^/]*7\.py$')"
+    ),
+    "language_detect": _sql(
+        r"SELECT path, CASE lower(regexp_extract(path, '\.([^./]*)$', 1)) WHEN 'rs' THEN 'rust' WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' END AS language FROM named"
+    ),
+    "recall_mrr": _sql(
+        """SELECT r.query_id, n_relevant, coalesce(hits, 0) AS hits, round(coalesce(hits, 0) / n_relevant, 6) AS recall, round(coalesce(1.0::DOUBLE / first_i, 0), 6) AS reciprocal_rank
+        FROM (SELECT query_id, count(*) AS n_relevant FROM relevant GROUP BY 1) r LEFT JOIN
+        (SELECT o.query_id, count(*) AS hits, min(i) AS first_i FROM ordered o JOIN relevant r ON o.query_id = r.query_id AND o.file = r.file AND o.start_line = r.start_line
+          WHERE i <= 5 GROUP BY 1) h ON r.query_id = h.query_id"""
+    ),
+    "diversity": _sql(
+        """SELECT q.query_id, round(1 - coalesce(sim, 0), 6) AS diversity FROM (SELECT DISTINCT query_id FROM grams) q LEFT JOIN
+        (SELECT a.query_id, avg(CASE WHEN len(a.t) + len(b.t) = 0 THEN 0 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END) AS sim
+          FROM grams a JOIN grams b ON a.query_id = b.query_id AND a.i < b.i GROUP BY 1) s ON q.query_id = s.query_id"""
+    ),
+    "grep_counts": _sql(
+        rf"""SELECT file, count(*) FILTER (n > 0) AS n_lines, sum(n)::BIGINT AS n_matches FROM
+        (SELECT file, len(regexp_extract_all(unnest(string_split(content, chr(10))), '{PATTERN}')) AS n FROM files) GROUP BY 1 HAVING sum(n) > 0"""
+    ),
+    "size_percentiles": "SELECT quantile_disc(n_chars, 0.5) AS p50, quantile_disc(n_chars, 0.95) AS p95, quantile_disc(n_chars, 0.99) AS p99, median(n_chars) AS median FROM documents",
+    "classify_queries": r"""SELECT conv_id, turn, CASE WHEN regexp_matches(t, '(^|\s)(fn|def|class|struct|impl|trait|enum|func|interface)\s+\w') THEN 'ast'
+      WHEN regexp_matches(t, '[\\\[\]{}()*+?|^$]') THEN 'regex'
+      WHEN len(list_filter(string_split_regex(trim(t), '\s+'), lambda w: w <> '')) > 3 THEN 'semantic' ELSE 'lexical' END AS kind
+      FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)""",
+    "result_lines": _sql(
+        """SELECT query_id, i::INT AS i, format('{}:{}-{}  score={:.3f}', o.file, o.start_line, c.end_line, round(rel, 6)) AS line FROM
+        (SELECT *, score / greatest(1e-6, max(score) OVER (PARTITION BY query_id)) AS rel FROM ordered WHERE i <= 10) o
+        JOIN chunks c ON o.file = c.file AND o.start_line = c.start_line"""
+    ),
+    "synthetic_corpus": _sql(
+        """SELECT file, start_line, start_line + 3 AS end_line, greatest(1, octet_length(encode(text)) // 4)::INT AS token_est, text FROM
+        (SELECT printf('synth/file_%06d.rs', f) AS file, ((id - f * 40) * 4 + 1)::INT AS start_line,
+          printf('fn fn_%06d() {', id) || chr(10) || printf('    let var_unique_%06d = compute_%04d_%04d();', id, f, id - f * 40) || chr(10) ||
+          printf('    handler_shared(filler_%05d);', r) || chr(10) || '}' || chr(10) AS text FROM made)"""
+    ),
+    "unit_chunks": _sql("SELECT printf('synth/file_%06d.rs', f) AS file, ((id - f * 40) * 4 + 1)::INT AS start_line, ((id - f * 40) * 4 + 4)::INT AS end_line FROM made"),
+}

@@ -1 +1 @@
-"""Sources of the engine."""
+"""Reading files, lists and tables that searches start from."""

@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Following a folder of sources."""
