@@ -12,8 +12,9 @@ The fit reads a sample of the labelled documents, of ``TRAIN_DOCS`` expected, dr
 by a hash of the id evenly over the languages. That bound is the only one;
 statistics and predictions take in every document and the whole of its text.
 
-A document is rejected if it has no letters or if no language reaches
-``MIN_CONFIDENCE``.
+A document is rejected if it has no letters, or if no language reaches
+``MIN_CONFIDENCE`` though there are ``MIN_LETTERS``, enough to tell: the fewer letters, the less
+a low confidence says, so a short text isn't rejected for it.
 
 Defined cases: a null or empty text, or one without letters, is ``und`` with
 confidence 0 and rejected; rows with a null label are classified but not used
@@ -39,7 +40,8 @@ TRAIN_DOCS = 4_000
 MAX_FEATURES = 16_384
 MIN_DOCS = 2
 MIN_CONFIDENCE = 0.5
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.01
+MIN_LETTERS = 40
+EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.2, 0.01
 _SPACE = 64 + 64**2 + 64**3
 
 
@@ -227,7 +229,8 @@ def verdict(model: Model, text: str | None, min_confidence: float = MIN_CONFIDEN
     if p is None:
         return "und", 0.0, False
     best = int(p.argmax())
-    return model.classes[best], float(p[best]), bool(p[best] >= min_confidence)
+    told = p[best] >= min_confidence or int((symbols(text) > 0).sum()) < MIN_LETTERS
+    return model.classes[best], float(p[best]), bool(told)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
