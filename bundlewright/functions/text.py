@@ -26,7 +26,7 @@ def lines_of(text: Column) -> Column:
     """The lines of a text, each without its end, be it LF or CR LF; text that ends with LF has no last empty line."""
     parts = F.split(text, "\n")
     parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return F.transform(parts, lambda x: F.regexp_replace(x, "\r$", ""))
+    return F.transform(parts, lambda x: F.regexp_replace(x, r"\r\z", ""))
 
 
 def token_estimate(text: Column) -> Column:
