@@ -36,7 +36,7 @@ def token_estimate(text: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """The distinct runs of three bytes, as numbers, which sets hash; none if there are fewer bytes."""
-    raw = F.encode(text, "utf-8")
+    raw = F.encode(text, "UTF-8")
     n = F.octet_length(text)
     runs = F.transform(
         F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(3))), 16, 10).cast("int")

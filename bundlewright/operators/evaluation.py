@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bundlewright.durable import cut
 from bundlewright.functions.text import is_relevant, lines_of, trigram_jaccard, trigrams
 
 AT = 5
@@ -36,7 +37,9 @@ def recall_and_rank(top: DataFrame, relevant: DataFrame, at: int = AT) -> DataFr
 
 def diversity(texts: DataFrame, at: int = AT) -> DataFrame:
     """(query_id, diversity): 1 less the mean Jaccard of trigrams over pairs of the first answers (query_id, i, text); 1 for a single one."""
-    first = texts.where(F.col("i") <= at).select("query_id", "i", trigrams(F.col("text")).alias("t"))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = texts.where(F.col("i") <= at).repartition(parts, "query_id", "i")  # few rows, each with much to do
+    first = cut(few.select("query_id", "i", trigrams(F.col("text")).alias("t")))
     a = first.select("query_id", "i", F.col("t").alias("ti"))
     b = first.select("query_id", F.col("i").alias("j"), F.col("t").alias("tj"))
     pairs = a.join(b, "query_id").where("i < j").select("query_id", trigram_jaccard(F.col("ti"), F.col("tj")).alias("sim"))

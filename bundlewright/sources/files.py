@@ -33,7 +33,7 @@ def read_tree(spark: SparkSession, root: str, extensions=EXTENSIONS, excludes=()
     relative = F.expr(f"substring(regexp_replace(path, '^file:/+', 'file:/'), {len(_bare(base)) + 1})")
     found = found.where(F.startswith(bare, F.lit(_bare(base)))).select(relative.alias("file"), "content")
     texts = kept_paths(found, extensions, excludes, "file").where(F.is_valid_utf8("content") & (F.length("content") > 0))
-    return texts.select("file", F.decode("content", F.lit("UTF-8")).alias("content"))
+    return texts.select("file", F.decode("content", "UTF-8").alias("content"))
 
 
 def _bare(uri: str) -> str:
