@@ -12,8 +12,9 @@ measure that doesn't change if a document is written twice over.
 Documents with equal shingles are taken together first. Of the rest, those that
 agree in all registers of a band are one bucket. In each bucket every document is
 verified against the first, by the exact probability Jaccard of the whole texts.
-Those that fail are a smaller bucket, which is treated alike, until few are
-left, all of whose pairs are then verified. So no bucket needs all its pairs, and none is
+Those that fail are a smaller bucket, which is treated alike with four times as many leading
+documents, until the pairs left in all buckets are no more than the documents there are; then all of these are
+verified. So a bucket of many copies never needs all its pairs, one of unlike documents takes few rounds, and none is
 capped. Groups are the connected components of verified pairs.
 
 Defined cases: a null or empty text, or one without words, has no shingles and is
@@ -220,25 +221,25 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshol
     by_key = Window.partitionBy("key")
     buckets = heads.select(F.col("head").alias("doc_id"), F.explode("bands").alias("key"))
     buckets = cut(buckets.withColumn("n", F.count(F.lit(1)).over(by_key)).where("n > 1").select("key", "doc_id"))
+    total, first = each.count(), 1
     while True:
-        counted = buckets.withColumn("n", F.count(F.lit(1)).over(by_key)).withColumn("head", F.min("doc_id").over(by_key)).where("n > 1")
-        counted = cut(counted)
+        counted = buckets.withColumn("n", F.count(F.lit(1)).over(by_key)).where("n > 1")
+        counted = cut(counted.withColumn("nth", F.row_number().over(by_key.orderBy("doc_id"))))
         size = counted.agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("n") - 1) / 2).alias("pairs")).first()
         if not size["rows"]:
             break
-        last = size["pairs"] <= 2 * size["rows"]
-        if last:
-            other = counted.select("key", F.col("doc_id").alias("head"))
-            pairs = counted.select("key", "doc_id").join(other, "key").where("head < doc_id").select("head", "doc_id").distinct()
-        else:
-            pairs = counted.where("doc_id <> head").select("head", "doc_id").distinct()
+        last = size["pairs"] <= total
+        leading = counted if last else counted.where(F.col("nth") <= first)
+        in_bucket = counted.join(leading.select("key", F.col("doc_id").alias("head")), "key").where("head < doc_id").select("key", "head", "doc_id")
+        pairs = in_bucket.select("head", "doc_id").distinct()
         found = cut(verified(docs, pairs, id_col, text).groupBy("head", "doc_id").agg(F.max("jaccard").alias("jaccard")))
         like = found.where(F.col("jaccard") >= threshold)
         edges = edges.unionByName(like.select(F.col("head").alias("a"), F.col("doc_id").alias("b")))
         if last:
             break
-        rest = counted.where("doc_id <> head").select("key", "doc_id", "head")
-        buckets = rest.join(like.select("head", "doc_id"), ["head", "doc_id"], "left_anti").select("key", "doc_id")
+        linked = in_bucket.join(like.select("head", "doc_id"), ["head", "doc_id"], "left_semi").select("key", "doc_id").distinct()
+        buckets = cut(counted.where(F.col("nth") > first).join(linked, ["key", "doc_id"], "left_anti").select("key", "doc_id"))
+        first *= 4
     labels = components(edges)
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("group_size"))
     return labels.join(sizes, "label").select(
