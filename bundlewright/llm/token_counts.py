@@ -16,11 +16,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bundlewright.llm import pretokens
+from bundlewright.llm import pretokens, words
 from bundlewright.llm.common import TOKENIZERS, sole, table
 
 #: Merged pre-tokens that a worker remembers before it starts anew.
@@ -55,21 +56,35 @@ def proved_whole(folder: str = TOKENIZERS) -> frozenset[str]:
     return frozenset(whole)
 
 
-class Lengths(dict):
-    """Pre-token to number of tokens: proved strings are 1, others are merged when first met."""
+class Lengths:
+    """Numbers of tokens of many pre-tokens at once: proved strings are 1, others are merged when first met."""
 
     def __init__(self, folder: str):
-        super().__init__(dict.fromkeys(proved_whole(folder), 1))
-        self.merged, self.proved, self.merge = 0, proved_whole(folder), _merger(folder)
-
-    def __missing__(self, piece: str) -> int:
-        if self.merged >= REMEMBERED:
-            self.clear()
-            self.update(dict.fromkeys(self.proved, 1))
-            self.merged = 0
-        n = self[piece] = self.merge(piece.encode("utf-8", "replace"))
-        self.merged += 1
-        return n
+        self.proved, self.merge = proved_whole(folder), _merger(folder)
+        self._anew()
+
+    def _anew(self) -> None:
+        """Remember the proved strings only."""
+        self.memory = pretokens.Memory(REMEMBERED + len(self.proved))
+        each = [t.encode() for t in self.proved]
+        data = np.frombuffer(b"".join(each), dtype=np.uint8)
+        end = np.cumsum([len(t) for t in each])
+        h = np.unique(pretokens.hashed(data, end - np.array([len(t) for t in each]), end))
+        self.memory.put(h, np.ones(len(h), dtype=np.int64))
+
+    def of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = pretokens.hashed(data, start, end)
+        out, missing = self.memory.get(h)
+        if len(missing):
+            new, first, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            at = missing[first]
+            counts = np.array([self.merge(data[a:b].tobytes()) for a, b in zip(start[at].tolist(), end[at].tolist())], dtype=np.int64)
+            out[missing] = counts[back]
+            if self.memory.held + len(new) > self.memory.most:
+                self._anew()  # then what was just merged is met again like any other
+            else:
+                self.memory.put(new, counts)
+        return out
 
 
 @lru_cache(4)
@@ -77,10 +92,18 @@ def lengths(folder: str) -> Lengths:
     return Lengths(folder)
 
 
+def count_texts(data: np.ndarray, offsets: np.ndarray, folder: str = TOKENIZERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, pre-tokens, pre-tokens that are one token) of each text."""
+    start, end, first = pretokens.find(data, offsets)
+    each = lengths(folder).of(data, start, end)
+    tokens, whole = (np.concatenate([[0], np.cumsum(x)])[first] for x in (each, each == 1))
+    return np.diff(tokens), np.diff(first), np.diff(whole)
+
+
 def count_text(text: str, folder: str = TOKENIZERS) -> tuple[int, int, int]:
     """(tokens, pre-tokens, pre-tokens that are one token)."""
-    each = list(map(lengths(folder).__getitem__, pretokens.split(text)))
-    return sum(each), len(each), each.count(1)
+    data = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
+    return tuple(int(x[0]) for x in count_texts(data, np.array([0, len(data)]), folder))
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folder: str = TOKENIZERS) -> DataFrame:
@@ -90,8 +113,9 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fo
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [None if t is None else count_text(t, folder) for t in batch.column(1).to_pylist()]
-            columns = [pa.array([None if r is None else r[k] for r in rows], pa.int64()) for k in range(3)]
+            parts = [count_texts(data, offsets, folder) for _, data, offsets in words.slices(batch.column(1))]
+            missing = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            columns = [pa.array(np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]).astype(np.int64), mask=missing) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_tokens", "n_pretokens", "n_whole"])
 
     counted = narrow.mapInArrow(count, f"doc_id {kind}, n_tokens long, n_pretokens long, n_whole long")
