@@ -373,7 +373,7 @@ _BY_NAME = {"png": "image/png", "gif": "image/gif", "jpg": "image/jpeg", "jpeg":
 
 def declared_by_url(url: str):
     """The type that the end of a URL's path stands for; ``text/html`` if for none."""
-    ending = F.lower(F.regexp_extract(F.col(f"`{url}`"), r"^[^?#]*/[^/?#]*\.([A-Za-z0-9]+)(?:[?#].*)?$", 1))
+    ending = F.lower(F.regexp_extract(F.col(f"`{url}`"), r"^(?![A-Za-z][\w+.-]*://[^/?#]*(?:[?#]|$))[^?#]*/[^/?#]*\.([A-Za-z0-9]+)(?:[?#].*)?$", 1))
     known = F.create_map(*(F.lit(x) for pair in _BY_NAME.items() for x in pair))
     return F.coalesce(F.try_element_at(known, ending), F.lit("text/html"))
 

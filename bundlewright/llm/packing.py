@@ -63,20 +63,24 @@ class _Tier:
         put = 0
         while put < count:
             at = bisect_left(self.gaps, length)
-            if at == len(self.gaps):
+            if at < len(self.gaps):
+                gap = self.gaps[at]
+                held, items = self.by_gap[gap].pop()
+                if not self.by_gap[gap]:
+                    del self.gaps[at]
+            elif new:
+                gap, held, items = self.size, count, None
+            else:
                 break
-            gap = self.gaps[at]
-            held, items = self.by_gap[gap].pop()
-            if not self.by_gap[gap]:
-                del self.gaps[at]
-            n = min(held, count - put)
-            if n < held:
+            # What is left of the tightest gap is tighter still: a window is filled before the next is begun.
+            each = min(gap // length, count - put)
+            n = min(held, (count - put) // each)
+            if n < held and items is not None:
                 self.add(gap, held - n, ("shift", n, items))
-            self.add(gap - length, n, ("item", length, rank + put, self.size - gap, items))
-            put += n
-        if new and put < count:
-            self.add(self.size - length, count - put, ("item", length, rank + put, 0, None))
-            put = count
+            for k in range(each):
+                items = ("item", length, rank + put + k * n, self.size - gap + k * length, items)
+            self.add(gap - each * length, n, items)
+            put += each * n
         return put
 
     def groups(self) -> list[tuple[int, list[tuple[int, int, int]]]]:
