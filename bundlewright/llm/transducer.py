@@ -35,13 +35,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from bundlewright.llm import pretokens
+from bundlewright.llm import pretokens, words
 from bundlewright.llm.common import TOKENIZERS, sole, table
 
 #: Characters of text that the encoder takes in at a time.
 PART = 1 << 16
 #: Pre-tokens whose ids a worker remembers before it starts anew.
 REMEMBERED = 300_000
+#: The same for those of whole batches, whose table is smaller for each.
+REMEMBERED_IN_BATCHES = 1_000_000
 #: Longer pre-tokens aren't remembered.
 LONGEST_REMEMBERED = 64
 
@@ -94,14 +96,17 @@ class Ids(dict):
         self.ids, self.pair_rank = pretokens.merges(folder)
         self.lookahead = sufficient_lookahead(self.pair_rank)
 
-    def __missing__(self, piece: str) -> bytes:
-        data = piece.encode("utf-8", "replace")
+    def encode(self, data: bytes) -> bytes:
         if len(data) > 2 * self.lookahead:
             machine = PieceTransducer(self.pair_rank, self.lookahead)
             tokens = [*machine.feed(data), *machine.finish()]
         else:
             tokens = pretokens.merge(data, self.pair_rank)
-        out = struct.pack(f"<{len(tokens)}i", *map(self.ids.__getitem__, tokens))
+        return struct.pack(f"<{len(tokens)}i", *map(self.ids.__getitem__, tokens))
+
+    def __missing__(self, piece: str) -> bytes:
+        data = piece.encode("utf-8", "replace")
+        out = self.encode(data)
         if len(data) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -114,6 +119,44 @@ def ids_of(folder: str) -> Ids:
     return Ids(folder)
 
 
+class Batch:
+    """Ids of many pre-tokens at once; those met before are looked up, others go through the transducer or the merges."""
+
+    def __init__(self, folder: str):
+        self.table = ids_of(folder)
+        self.memory, self.pool = pretokens.Memory(REMEMBERED_IN_BATCHES), np.zeros(0, dtype=np.int32)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first): all ids, and each text's first place among them, with the total at the end."""
+        start, end, first = pretokens.find(data, offsets)
+        h = pretokens.hashed(data, start, end)
+        where, missing = self.memory.get(h)
+        pool = self.pool
+        if len(missing):
+            new, one, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            at = missing[one]
+            pieces = [self.table.encode(data[a:b].tobytes()) for a, b in zip(start[at].tolist(), end[at].tolist())]
+            count = np.array([len(p) // 4 for p in pieces], dtype=np.int64)
+            pool = np.concatenate([pool, np.frombuffer(b"".join(pieces), dtype="<i4")])
+            spot = (len(self.pool) + np.cumsum(count) - count) << 24 | np.minimum(count, (1 << 24) - 1)
+            where[missing] = spot[back]
+            short = (end - start)[at] <= LONGEST_REMEMBERED
+            if self.memory.held + int(short.sum()) > REMEMBERED_IN_BATCHES:
+                self.memory, self.pool = pretokens.Memory(REMEMBERED_IN_BATCHES), np.zeros(0, dtype=np.int32)
+            else:
+                self.memory.put(new[short], spot[short])
+                self.pool = pool
+        count = where & ((1 << 24) - 1)
+        total = np.concatenate([[0], np.cumsum(count)])
+        take = np.repeat((where >> 24) - total[:-1], count) + np.arange(total[-1])
+        return pool[take], total[first]
+
+
+@lru_cache(4)
+def batch_of(folder: str) -> Batch:
+    return Batch(folder)
+
+
 class Encoder:
     """Ids of a text whose parts are fed one after another; each call gives the ids that are final by then.
 
@@ -249,21 +292,20 @@ def encode_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fo
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1_000):
-                batch = whole.slice(at, 1_000)
-                ids, same = [], []
-                for t in batch.column(1).to_pylist():
-                    ids.append(None if t is None else encode(t, folder))
-                    same.append(None if t is None else decode(ids[-1], folder) == t)
-                counts = np.array([0 if x is None else len(x) for x in ids], dtype=np.int64)
-                missing = np.array([x is None for x in ids], dtype=bool)
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                values = np.concatenate([x for x in ids if x is not None] or [np.zeros(0, "<i4")])
-                mask = pa.array(missing)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)), mask=mask)
+        for batch in batches:
+            for at, data, offsets in words.slices(batch.column(1)):
+                rows = len(offsets) - 1
+                part = batch.slice(at, rows)
+                missing = part.column(1).is_null().to_numpy(zero_copy_only=False)
+                if rows == 1 and len(data) > words.SLICE_BYTES:  # a text by itself: as a stream
+                    ids = encode(part.column(1)[0].as_py(), folder)
+                    first = np.array([0, len(ids)])
+                else:
+                    ids, first = batch_of(folder).encode(data, offsets)
+                same = [None if t is None else decode(ids[a:b], folder) == t for t, a, b in zip(part.column(1).to_pylist(), first, first[1:])]
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=pa.array(missing))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(counts, mask=missing), lists, pa.array(same, pa.bool_())],
+                    [part.column(0), pa.array(np.diff(first), mask=missing), lists, pa.array(same, pa.bool_())],
                     ["doc_id", "n_tokens", "token_ids", "restored"],
                 )
 
