@@ -27,4 +27,16 @@ def free_name(df: DataFrame, wanted: str) -> str:
 
 def sole(df: DataFrame, *columns: str) -> DataFrame:
     """Only the columns an operator reads, so that others can't clash with its own."""
-    return df.select(*(F.col(f"`{c}`") for c in columns))
+    return small_batches(df).select(*(F.col(f"`{c}`") for c in columns))
+
+
+#: Rows of text that are sent to Python at a time; each batch is held several times over.
+BATCH_ROWS = 1_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same table; its session sends texts to Python in small batches, unless it was told another size."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bundlewright.llm.common import sole, table
+from bundlewright.llm.common import small_batches, sole, table
 
 TRAIN_DOCS = 4_000
 MAX_FEATURES = 16_384
@@ -259,7 +259,7 @@ def accepted(docs: DataFrame, model: Model, text: str = "text", min_confidence:
     def keep(texts: pd.Series) -> pd.Series:
         return pd.Series([verdict(shared.value, t, min_confidence)[2] for t in texts], dtype=bool)
 
-    return docs.where(keep.asNondeterministic()(F.col(f"`{text}`")))
+    return small_batches(docs).where(keep.asNondeterministic()(F.col(f"`{text}`")))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

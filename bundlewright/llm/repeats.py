@@ -49,7 +49,7 @@ from pyspark.sql.window import Window
 
 from bundlewright.durable import cut
 from bundlewright.llm import words
-from bundlewright.llm.common import small_enough, table
+from bundlewright.llm.common import small_batches, small_enough, table
 
 LEAST, GRAM = 50, 16
 WINDOW = LEAST - GRAM + 1
@@ -143,7 +143,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, own: np.ndarray) -> tuple[np.
 
 def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(key, doc_id, text); rows of the same id and text have the same key."""
-    return docs.select(
+    return small_batches(docs).select(
         F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text}`")).alias("key"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text")
     )
 

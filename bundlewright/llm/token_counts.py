@@ -53,6 +53,7 @@ def proved_whole(folder: str = TOKENIZERS) -> frozenset[str]:
             continue
         if len(token) == 1 or pretokens.merge(token, pair_rank) == [token]:
             whole.add(text)
+    pretokens.merges.cache_clear()  # large, and needed no more
     return frozenset(whole)
 
 
