@@ -38,9 +38,12 @@ def trigrams(text: Column) -> Column:
     """The distinct runs of three bytes, as numbers, which sets hash; none if there are fewer bytes."""
     raw = F.encode(text, "UTF-8")
     n = F.octet_length(text)
-    runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(3))), 16, 10).cast("int")
-    )
+    places = F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1)))
+
+    def runs_of(r: Column) -> Column:  # the bytes are bound once; else each run would encode the text again
+        return F.transform(places, lambda i: F.conv(F.hex(F.substring(r, i, F.lit(3))), 16, 10).cast("int"))
+
+    runs = F.transform(F.array(raw), runs_of)[0]
     return F.when(n >= 3, F.array_distinct(runs)).otherwise(F.array().cast("array<int>"))
 
 
