@@ -10,12 +10,13 @@ documents agree in a register with the probability Jaccard of their weights, a
 measure that doesn't change if a document is written twice over.
 
 Documents with equal shingles are taken together first. Of the rest, those that
-agree in all registers of a band are one bucket. In each bucket every document is
-verified against the first, by the exact probability Jaccard of the whole texts.
-Those that fail are a smaller bucket, which is treated alike with four times as many leading
-documents, until the pairs left in all buckets are no more than the documents there are; then all of these are
-verified. So a bucket of many copies never needs all its pairs, one of unlike documents takes few rounds, and none is
-capped. Groups are the connected components of verified pairs.
+agree in all registers of a band are one bucket. In each bucket the first document is
+verified against every other, by the exact probability Jaccard of the whole texts, and has then
+no pair left there. Nor have two documents of one component; all others stay, linked or not. They are treated
+alike with four times as many leading documents, those of the bucket's smallest components and those with the
+most links, until the pairs left in all buckets are no more than the documents there are; then all of these are
+verified. So a bucket of many copies never needs all its pairs, one of unlike documents takes few rounds, and no pair
+of a bucket that could join two components is left out. Groups are the connected components of verified pairs.
 
 Defined cases: a null or empty text, or one without words, has no shingles and is
 in no group; nor is a row with a null id. Rows that share an id are one document,
@@ -41,7 +42,7 @@ from bundlewright.llm.common import small_enough, sole, table
 REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
 THRESHOLD = 0.6
-#: Members that are verified by one task against its copy of the bucket's first document.
+#: Members that are verified by one task against its copy of a leading document.
 MEMBERS = 2_000
 _SHINGLE = (1 << 44) - 1
 _SEED = np.uint64(0x5DEECE66D1234567)
@@ -221,24 +222,41 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshol
     by_key = Window.partitionBy("key")
     buckets = heads.select(F.col("head").alias("doc_id"), F.explode("bands").alias("key"))
     buckets = cut(buckets.withColumn("n", F.count(F.lit(1)).over(by_key)).where("n > 1").select("key", "doc_id"))
-    total, first = each.count(), 1
+    total, first, links, tried = each.count(), 1, None, None
     while True:
-        counted = buckets.withColumn("n", F.count(F.lit(1)).over(by_key)).where("n > 1")
-        counted = cut(counted.withColumn("nth", F.row_number().over(by_key.orderBy("doc_id"))))
-        size = counted.agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("n") - 1) / 2).alias("pairs")).first()
+        known = buckets.withColumn("label", F.col("doc_id")).withColumn("links", F.lit(0))
+        if links is not None:
+            known = buckets.join(links, "doc_id", "left").select(
+                "key", "doc_id", F.coalesce("label", "doc_id").alias("label"), F.coalesce("links", F.lit(0)).alias("links")
+            )
+        counted = known.withColumn("alike", F.count(F.lit(1)).over(Window.partitionBy("key", "label")))
+        counted = counted.withColumn("n", F.count(F.lit(1)).over(by_key)).where("n > alike")
+        counted = counted.withColumn("nth", F.row_number().over(by_key.orderBy("alike", F.desc("links"), "doc_id")))
+        counted = cut(counted.withColumn("by_links", F.row_number().over(by_key.orderBy(F.desc("links"), "doc_id"))))
+        size = counted.agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("n") - F.col("alike")) / 2).alias("pairs")).first()
         if not size["rows"]:
             break
         last = size["pairs"] <= total
-        leading = counted if last else counted.where(F.col("nth") <= first)
-        in_bucket = counted.join(leading.select("key", F.col("doc_id").alias("head")), "key").where("head < doc_id").select("key", "head", "doc_id")
-        pairs = in_bucket.select("head", "doc_id").distinct()
+        leads = F.lit(True) if last else F.least("nth", "by_links") <= first
+        leading = counted.where(leads).select("key", F.col("doc_id").alias("head"), F.col("label").alias("head_label"))
+        pairs = counted.join(leading, "key").where("label <> head_label")
+        pairs = pairs.groupBy(F.least("head", "doc_id").alias("a"), F.greatest("head", "doc_id").alias("b")).agg(F.min("head").alias("head"))
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = cut(pairs.select("head", F.when(F.col("head") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("doc_id")))
         found = cut(verified(docs, pairs, id_col, text).groupBy("head", "doc_id").agg(F.max("jaccard").alias("jaccard")))
-        like = found.where(F.col("jaccard") >= threshold)
-        edges = edges.unionByName(like.select(F.col("head").alias("a"), F.col("doc_id").alias("b")))
+        like = found.where(F.col("jaccard") >= threshold).select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+        edges = edges.unionByName(like)
         if last:
             break
-        linked = in_bucket.join(like.select("head", "doc_id"), ["head", "doc_id"], "left_semi").select("key", "doc_id").distinct()
-        buckets = cut(counted.where(F.col("nth") > first).join(linked, ["key", "doc_id"], "left_anti").select("key", "doc_id"))
+        unlike = found.where(F.col("jaccard") < threshold).select(F.least("head", "doc_id").alias("a"), F.greatest("head", "doc_id").alias("b"))
+        tried = unlike if tried is None else tried.unionByName(unlike)
+        ends = like.select(F.col("a").alias("doc_id")).unionByName(like.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("links"))
+        if links is not None:
+            like = like.unionByName(links.where("doc_id <> label").select(F.col("doc_id").alias("a"), F.col("label").alias("b")))
+            ends = ends.unionByName(links.select("doc_id", "links")).groupBy("doc_id").agg(F.sum("links").alias("links"))
+        links = cut(components(like).join(ends, "doc_id"))
+        buckets = cut(counted.where(~leads).select("key", "doc_id"))
         first *= 4
     labels = components(edges)
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("group_size"))

@@ -89,5 +89,24 @@ def test_groups_are_those_of_all_pairs(spark):
     assert sorted(i for i in ids if i is not None) == sorted(set(parent) - gone) and ids.count(None) == 1
 
 
+def test_groups_around_an_original_that_is_not_the_least_id(spark):
+    rng = random.Random(4)
+    texts = []
+    for star in range(3):
+        original = [f"s{star}w{i}" for i in range(200)]
+        for copy in range(40):
+            changed = list(original)
+            for k in rng.sample(range(0, 200, 2), 20):
+                changed[k] = f"s{star}c{copy}x{k}"
+            texts.append((star * 100 + copy, " ".join(changed)))
+        texts.append((star * 100 + 99, " ".join(original)))
+    v = vectors([t for _, t in texts])
+    originals = [i for i, (d, _) in enumerate(texts) if d % 100 == 99]
+    band = lambda i: v[i][2].reshape(nd.BANDS, nd.ROWS)
+    want = {d for i, (d, _) in enumerate(texts) for o in originals if (band(i) == band(o)).all(axis=1).any()}
+    got = {r.doc_id: r.group_id for r in nd.groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert len(want) > 110 and got == {d: d // 100 * 100 for d in want}
+
+
 def test_no_rows(spark):
     assert nd.groups(spark.createDataFrame([], SCHEMA)).count() == 0
