@@ -28,7 +28,10 @@ it is split into the subtrees that do.
 
 A stretch that repeats itself after fewer than ``WINDOW`` words is a run, in which every turn would
 start as many repeats as turns follow. Anchors whose first windows all lie in its third or a later turn
-are passed over; the longest repeat of the run with itself starts before them, and takes in all that follow.
+are passed over if no repeat of theirs goes beyond the run; the longest repeat of the run with itself starts before them,
+and has all its turns. A repeat that goes beyond has, in all its occurrences, as many words from the anchor to the run's end and the
+same word after it. Of anchors alike in both, those of later turns stay unless the words to their left are all
+the same (as in 2.): so runs of different length that are followed by the same words meet.
 
 Defined cases: a null or empty text has no words; texts of fewer than ``LEAST``
 words have no repeats; rows with the same id and text are one document; rows with the same id
@@ -68,12 +71,12 @@ def _window_least(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[: len(v) - rest], v[rest:]) if rest and len(v) > rest else v if not rest else v[:0]
 
 
-def _turned(gram, sums, down, chosen, before, back, least) -> np.ndarray:
+def _turned(gram, sums, down, chosen, before, back, least, last) -> np.ndarray:
     """Which anchors belong only to the third or a later turn of a run of under ``WINDOW`` words."""
     turned = np.zeros(len(chosen), dtype=bool)
     at = np.flatnonzero(back < WINDOW)
     at = at[gram[chosen[at] - back[at]] == gram[chosen[at]]]
-    turn, a, b = back[at], chosen[at] - back[at] + 1, chosen[at] - least[at] + LEAST
+    turn, a, b = back[at], chosen[at] - back[at] + 1, np.minimum(chosen[at] + np.maximum(LEAST - least[at], back[at] + GRAM), last[at])
     fits = a - 2 * turn >= chosen[at] - before[at]
     at, turn, a, b = at[fits], turn[fits], a[fits], b[fits]
     stretch = [(sums[b - k * turn] - sums[a - k * turn]) * down[a - k * turn] for k in range(3)]
@@ -81,6 +84,26 @@ def _turned(gram, sums, down, chosen, before, back, least) -> np.ndarray:
     return turned
 
 
+def _tails(h, gram, sums, down, chosen, ahead, last) -> np.ndarray:
+    """A hash of the number of words to the end of the run an anchor is in and the word after it; 0 without a run, or if the row ends with it.
+
+    ``ahead`` is the distance of the next equal anchor, 0 without one, and ``last`` the end of each anchor's row.
+    """
+    tails = np.zeros(len(chosen), dtype=np.uint64)
+    at = np.flatnonzero(ahead)
+    at = at[gram[chosen[at]] == gram[chosen[at] + ahead[at]]]
+    a, b = chosen[at], chosen[at] + ahead[at]
+    low, high = np.zeros(len(at), dtype=np.int64), last[at] - b
+    while (low < high).any():
+        middle = (low + high + 1) // 2
+        same = (sums[a + middle] - sums[a]) * down[a] == (sums[b + middle] - sums[b]) * down[b]
+        low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+    goes_on = b + low < last[at]
+    at, length, after = at[goes_on], (ahead[at] + low)[goes_on], (b + low)[goes_on]
+    tails[at] = words.mix(h[after] + words.mix(length.astype(np.uint64))) | np.uint64(1)
+    return tails
+
+
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -96,11 +119,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, position, gram, left, back, least) of the anchors of some texts.
+    """(row, position, gram, left, back, least, turned, tail) of the anchors of some texts.
 
     ``back`` is how many words before the anchor count, ``least`` the fewest words before it
     at which it is the first window's anchor, ``left`` a hash of those before it; ``own``
     has a number for each row, which takes the place of ``left`` where the row starts in them.
+    ``turned`` are those of a run's third or a later turn, given only if they have a ``tail``.
     """
     start, end, first = words.find(data, offsets, words.SOLID)
     h = words.hashes(data, start, end)
@@ -110,7 +134,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, own: np.ndarray) -> tuple[np.
         gram = words.pairs_of(gram, step)
         step *= 2
     if n < LEAST:
-        return (np.zeros(0, np.int64),) * 6
+        return (np.zeros(0, np.int64),) * 8
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     place = np.arange(len(gram), dtype=np.int64)
     v = (gram & ~_LOW) | (place.astype(np.uint64) & _LOW)  # of equal grams the first is least
@@ -120,25 +144,31 @@ def anchors(data: np.ndarray, offsets: np.ndarray, own: np.ndarray) -> tuple[np.
     low = (least[at] & _LOW).astype(np.int64)
     chosen = np.unique(at + ((low - at) & int(_LOW)))
     if not len(chosen):
-        return (np.zeros(0, np.int64),) * 6
+        return (np.zeros(0, np.int64),) * 8
     which = row[chosen]
     before = chosen - first[which]
     around = np.concatenate([np.full(WINDOW, _MOST), v, np.full(WINDOW, _MOST)])
     value = v[chosen]
     back, ahead = np.full(len(chosen), WINDOW), np.full(len(chosen), WINDOW)
+    again, high = np.zeros(len(chosen), dtype=np.int64), value | _LOW
     for t in range(WINDOW - 1, 0, -1):
         back[(around[chosen + WINDOW - t] < value) & (t <= before)] = t
-        ahead[around[chosen + WINDOW + t] < value] = t
+        later = around[chosen + WINDOW + t]
+        ahead[later < value] = t
+        again[(later | _LOW) == high] = t
     up, down = _powers(n + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:n])])
     fewest = np.maximum(np.maximum(0, WINDOW - ahead), chosen + LEAST - first[which + 1])
-    on = ~_turned(gram, sums, down, chosen, before, back, fewest)
-    chosen, which, before, back, fewest = chosen[on], which[on], before[on], back[on], fewest[on]
+    last = first[which + 1]
+    turned = _turned(gram, sums, down, chosen, before, back, fewest, last)
+    tail = _tails(h, gram, sums, down, chosen, again, last)
+    on = ~turned | (tail != 0)
+    chosen, which, before, back, fewest, turned, tail = (x[on] for x in (chosen, which, before, back, fewest, turned, tail))
     since = chosen - np.minimum(back, before)
     left = words.mix((sums[chosen] - sums[since]) * down[since] + back.astype(np.uint64))
     opens = back > before
     left[opens] = own[which[opens]]
-    return which, chosen - first[which], gram[chosen], left, back, fewest
+    return which, chosen - first[which], gram[chosen], left, back, fewest, turned, tail
 
 
 def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -149,21 +179,21 @@ def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def _anchor_table(keyed: DataFrame) -> DataFrame:
-    """(gram, left, key, pos, span)."""
+    """(gram, left, key, pos, span, turned, tail)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy().view(np.uint64)
             for at, data, offsets in words.slices(batch.column(1)):
                 own = keys[at : at + len(offsets) - 1]
-                row, pos, gram, left, back, least = anchors(data, offsets, words.mix(own))
+                row, pos, gram, left, back, least, turned, tail = anchors(data, offsets, words.mix(own))
                 if len(row):
                     yield pa.RecordBatch.from_arrays(
-                        [*map(pa.array, (gram.view(np.int64), left.view(np.int64), own[row].view(np.int64), pos.astype(np.int32), (back * 64 + least).astype(np.int32)))],
-                        ["gram", "left", "key", "pos", "span"],
+                        [*map(pa.array, (gram.view(np.int64), left.view(np.int64), own[row].view(np.int64), pos.astype(np.int32), (back * 64 + least).astype(np.int32), turned, tail.view(np.int64)))],
+                        ["gram", "left", "key", "pos", "span", "turned", "tail"],
                     )
 
-    return keyed.select("key", "text").mapInArrow(run, "gram long, left long, key long, pos int, span int")
+    return keyed.select("key", "text").mapInArrow(run, "gram long, left long, key long, pos int, span int, turned boolean, tail long")
 
 
 _CONTEXT = ("gram", "class", "key", "doc_id", "pos", "span", "before", "ends", "context")
@@ -400,8 +430,13 @@ def _found(contexts: DataFrame, known: int, reach: int) -> DataFrame:
 def _repeats(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     keyed = _keyed(docs, id_col, text)
     by_gram = Window.partitionBy("gram")
+    by_tail = Window.partitionBy("gram", "tail")
     wanted = (
         _anchor_table(keyed)
+        .repartition("gram")
+        .withColumn("lo", F.min("left").over(by_tail))
+        .withColumn("hi", F.max("left").over(by_tail))
+        .where("not turned or lo <> hi")
         .withColumn("lo", F.min("left").over(by_gram))
         .withColumn("hi", F.max("left").over(by_gram))
         .where("lo <> hi")

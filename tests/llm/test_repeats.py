@@ -81,6 +81,19 @@ def test_runs_and_cutting(spark):
     assert text == {(1, "a ", 2), (2, docs[1][1], None), (3, "other end é", 11), (5, docs[4][1], 26), (5, None, 0), (None, "start stop", 10)}
 
 
+def test_runs_of_different_length_before_a_shared_passage(spark):
+    passage, turn = [f"p{i}" for i in range(80)], [f"t{i}" for i in range(7)]
+    docs = [(1, ["x"] + ["-"] * 300 + passage), (2, ["y"] + ["-"] * 120 + passage + ["z"]), (3, ["-"] * 70 + passage[:30])]
+    docs += [(4, ["q"] + turn * 40 + passage[:60]), (5, ["r"] + turn[3:] + turn * 12 + passage[:60] + ["s"]), (6, turn * 20)]
+    docs = [(i, " ".join(w)) for i, w in docs]
+    got = {(r.n_words, tuple(zip(r.doc_ids, r.starts))) for r in R.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = brute(docs, R.LEAST)
+    # What lies in runs only is given at their first turns.
+    beyond = {(n, at) for n, at in want if any("p0" in dict(docs)[d].split()[p : p + n] for d, p in at)}
+    assert {(200, ((1, 181), (2, 1))), (148, ((4, 193), (5, 1)))} <= beyond and beyond <= got
+    assert {n for n, _ in got} <= {n for n, _ in want}
+
+
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert R.repeats(empty).count() == 0 and R.cut_out(empty).count() == 0
