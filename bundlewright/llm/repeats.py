@@ -4,7 +4,7 @@ A word is a run of anything but white space. A repeat is a sequence of at least
 ``LEAST`` words with two occurrences or more, in one document or several; it is
 maximal if its occurrences are neither all preceded nor all followed by the same
 word (a document's ends count as words of their own). Every maximal repeat is given with all
-its occurrences.
+its occurrences, a row for each.
 
 The suffix array of a corpus fits no machine, and most of it has no repeat, so
 it is split into the subtrees that do.
@@ -26,17 +26,24 @@ it is split into the subtrees that do.
    all the way form a subtree of their own, which is treated again with
    eight times the reach, until none is left. So lengths have no bound.
 
-A stretch that repeats itself after fewer than ``WINDOW`` words is a run, in which every turn would
-start as many repeats as turns follow. Anchors whose first windows all lie in its third or a later turn
-are passed over if no repeat of theirs goes beyond the run; the longest repeat of the run with itself starts before them,
-and has all its turns. A repeat that goes beyond has, in all its occurrences, as many words from the anchor to the run's end and the
-same word after it. Of anchors alike in both, those of later turns stay unless the words to their left are all
-the same (as in 2.): so runs of different length that are followed by the same words meet.
+**Equal texts.** A text that several documents have goes through these steps once. Each of its occurrences
+counts for all its documents, and the whole text is a repeat too.
+
+**Runs.** A text that repeats itself after at most ``PERIOD`` words, for ``LEAST`` words or more, is a run: one of m words
+has some m repeats with some m occurrences each, too many to write out. A repeat that lies in runs alone repeats
+itself in that way too, and each of its occurrences lies in one run. So the runs stand for them: runs of the same turn, from whichever of its words,
+are one class, with a row for each run, its ``period`` and its ``phase`` (how many words of the turn, in the rotation that its class
+names, come before the run's first). All repeats within runs, with all occurrences, follow from
+these rows and the words around the runs (:func:`expanded` writes them out). Repeats that are not in
+runs alone, such as those that go on after a run's end, are given by themselves like any other.
+For them, anchors whose first windows all lie in a run's third or a later turn are left out unless the repeat goes beyond the run: it
+has then in all its occurrences as many words from the anchor to the run's end and the same word after it; of
+anchors alike in both, those of later turns stay unless the words to their left are all the same (as in 2.).
 
 Defined cases: a null or empty text has no words; texts of fewer than ``LEAST``
-words have no repeats; rows with the same id and text are one document; rows with the same id
-and another text are others with that id; a null id is given as null; an empty table gives no
-rows; other columns are ignored by :func:`repeats` and kept by :func:`cut_out`.
+words have no repeats; texts of any length are taken whole; rows with the same id and text are one document; rows with the same id
+and another text are others with that id; a null id is given as null and comes last in order; an empty table gives no
+rows; other columns, of whatever name, are ignored by :func:`repeats` and kept by :func:`cut_out`.
 """
 
 from __future__ import annotations
@@ -52,11 +59,13 @@ from pyspark.sql.window import Window
 
 from bundlewright.durable import cut
 from bundlewright.llm import words
-from bundlewright.llm.common import small_batches, small_enough, table
+from bundlewright.llm.common import free_name, small_enough, sole, table
 
 LEAST, GRAM = 50, 16
 WINDOW = LEAST - GRAM + 1
 REACH, WIDER = 96, 8
+#: Words after which a run repeats itself, at most; so one of ``LEAST`` words has two turns.
+PERIOD = LEAST // 2
 _LOW = np.uint64((1 << 24) - 1)
 _MOST = np.uint64((1 << 64) - 1)
 
@@ -72,9 +81,9 @@ def _window_least(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def _turned(gram, sums, down, chosen, before, back, least, last) -> np.ndarray:
-    """Which anchors belong only to the third or a later turn of a run of under ``WINDOW`` words."""
+    """Which anchors belong only to the third or a later turn of a run of at most ``PERIOD`` words."""
     turned = np.zeros(len(chosen), dtype=bool)
-    at = np.flatnonzero(back < WINDOW)
+    at = np.flatnonzero(back <= PERIOD)
     at = at[gram[chosen[at] - back[at]] == gram[chosen[at]]]
     turn, a, b = back[at], chosen[at] - back[at] + 1, np.minimum(chosen[at] + np.maximum(LEAST - least[at], back[at] + GRAM), last[at])
     fits = a - 2 * turn >= chosen[at] - before[at]
@@ -171,11 +180,78 @@ def anchors(data: np.ndarray, offsets: np.ndarray, own: np.ndarray) -> tuple[np.
     return which, chosen - first[which], gram[chosen], left, back, fewest, turned, tail
 
 
+def runs(h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+    """(row, start, n_words, period, phase, class) of each run: the longest stretches of at least ``LEAST`` words that repeat after at most ``PERIOD``.
+
+    The class is the least hash of the turn's rotations, and the phase tells where in that rotation the run starts.
+    """
+    n, step = len(h), LEAST - PERIOD - 8 + 1
+    if n < LEAST:
+        return []
+    eight = words.pairs_of(words.pairs_of(words.pairs_of(h, 1), 2), 4)
+    row, found = None, {}
+    for period in range(1, PERIOD + 1):
+        # A run of this period has at least LEAST - PERIOD - 7 places in a row whose eight words recur; one of them is looked at.
+        at = np.arange(0, len(eight) - period, step)
+        if not (eight[at] == eight[at + period]).any():
+            continue
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first)) if row is None else row
+        same = np.zeros(n - period + 2, dtype=bool)
+        same[1:-1] = (h[:-period] == h[period:]) & (row[:-period] == row[period:])
+        edges = np.flatnonzero(same[1:] != same[:-1])
+        begins, ends = edges[::2], edges[1::2] + period
+        for a, b in zip(begins.tolist(), ends.tolist()):
+            if b - a >= LEAST:
+                found.setdefault((a, b), period)  # the smallest period comes first
+    out = []
+    for (a, b), period in found.items():
+        turns = h[a + (np.arange(period)[:, None] + np.arange(period)) % period]
+        key = np.full(period, period, dtype=np.uint64)
+        for k in range(period):
+            key = words.mix(key * np.uint64(3) + turns[:, k])
+        least = int(key.argmin())
+        out.append((int(row[a]), a - int(first[row[a]]), b - a, period, (period - least) % period, int(key[least : least + 1].view(np.int64)[0])))
+    return out
+
+
 def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(key, doc_id, text); rows of the same id and text have the same key."""
-    return small_batches(docs).select(
-        F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text}`")).alias("key"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text")
-    )
+    """(key, doc_id, text); rows of the same text have the same key."""
+    return sole(docs, id_col, text).select(F.xxhash64(F.col(f"`{text}`")).alias("key"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+
+
+def _once(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts, copies): (key, doc_id, text, copies) with each text once, under its least id, and (key, doc_id) of texts that several documents have."""
+    members = keyed.where("text is not null").select("key", "doc_id").distinct()
+    several = cut(members.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("lead")).where("copies > 1"))
+    few = F.broadcast(several) if small_enough(several.count()) else several
+    texts = keyed.where("text is not null").join(few, "key", "left").where("copies is null or doc_id <=> lead")
+    texts = texts.select("key", "doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"))
+    return texts, members.join(few, "key").select("key", "doc_id", "lead")
+
+
+def _run_table(texts: DataFrame) -> DataFrame:
+    """(class, key, doc_id, start, n_words, period, phase, copies) of each run of each text."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, data, offsets in words.slices(batch.column("text")):
+                start, end, first = words.find(data, offsets, words.SOLID)
+                found = runs(words.hashes(data, start, end), first)
+                if found:
+                    row, begin, n, period, phase, klass = zip(*found)
+                    source = pa.array(np.array(row) + at)
+                    key, doc, copies = (batch.column(c).take(source) for c in ("key", "doc_id", "copies"))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(klass, pa.int64()), key, doc, *(pa.array(x, pa.int32()) for x in (begin, n, period, phase)), copies],
+                        ["class", "key", "doc_id", "start", "n_words", "period", "phase", "copies"],
+                    )
+
+    found = texts.mapInArrow(run, f"class long, key long, doc_id {kind}, start int, n_words int, period int, phase int, copies long")
+    found = cut(found.distinct())  # rows with the same id and text are one document
+    classes = found.groupBy("class").agg(F.sum("copies").alias("n_occurrences"), F.max(F.col("n_words") - F.col("period")).alias("again"))
+    classes = cut(classes.where(f"n_occurrences > 1 or again >= {LEAST}").select("class", "n_occurrences"))
+    return found.join(F.broadcast(classes) if small_enough(classes.count()) else classes, "class")
 
 
 def _anchor_table(keyed: DataFrame) -> DataFrame:
@@ -196,7 +272,7 @@ def _anchor_table(keyed: DataFrame) -> DataFrame:
     return keyed.select("key", "text").mapInArrow(run, "gram long, left long, key long, pos int, span int, turned boolean, tail long")
 
 
-_CONTEXT = ("gram", "class", "key", "doc_id", "pos", "span", "before", "ends", "context")
+_CONTEXT = ("gram", "class", "key", "doc_id", "copies", "pos", "span", "before", "ends", "context")
 
 
 def _contexts(keyed: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
@@ -238,13 +314,14 @@ def _contexts(keyed: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
                             *map(pa.array, (gram[i], kind_of[i])),
                             batch.column("key").take(source),
                             batch.column("doc_id").take(source),
+                            batch.column("copies").take(source),
                             *map(pa.array, (pos[i], span[i], before[part].astype(np.int32), ends[part])),
                             context,
                         ],
                         _CONTEXT,
                     )
 
-    schema = f"gram long, class long, key long, doc_id {kind}, pos int, span int, before int, ends boolean, context binary"
+    schema = f"gram long, class long, key long, doc_id {kind}, copies long, pos int, span int, before int, ends boolean, context binary"
     return keyed.join(by_key, "key").mapInArrow(run, schema)
 
 
@@ -282,12 +359,19 @@ def intervals(common: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
             stack.append((depth, first))
 
 
+def _periodic(s: np.ndarray) -> bool:
+    """Whether words repeat themselves after at most ``PERIOD``, so that they lie in runs alone."""
+    likely = np.flatnonzero((s[1 : PERIOD + 1] == s[0]) & (s[2 : PERIOD + 2] == s[1])) + 1
+    return any((s[p:] == s[:-p]).all() for p in likely.tolist())
+
+
 def subtree(left: np.ndarray, right: np.ndarray, back: np.ndarray, fewest: np.ndarray, known: int, reach: int) -> tuple[list, list]:
     """(repeats, again) of one anchor's occurrences.
 
     ``left`` has the words before each, nearest first, ``right`` those from the anchor on, a row each. A repeat is
     (words before the anchor, words from it on, its rows). ``again`` has the rows that are alike for
-    the whole reach, a list for each such set. Repeats of up to ``known`` words from the anchor on were given before.
+    the whole reach, a list for each such set. Repeats of up to ``known`` words from the anchor on were given before; those that
+    lie in runs alone are left to the runs.
     """
     order, common = _lexical(right)
     rank = np.empty(len(order), dtype=np.int64)
@@ -311,7 +395,7 @@ def subtree(left: np.ndarray, right: np.ndarray, back: np.ndarray, fewest: np.nd
         for length, a, b in intervals(along, least):
             if length < reach and changes[b] > changes[a]:
                 some = rows[a]
-                if fewest[some] <= depth < back[some]:
+                if fewest[some] <= depth < back[some] and not _periodic(np.concatenate([left[some, :depth][::-1], right[some, :length]])):
                     found.append((depth, length, rows[a : b + 1]))
     return found, again
 
@@ -345,18 +429,10 @@ def _matrices(context: pa.Array, before: np.ndarray, ends: np.ndarray, back: np.
 
 
 def _found(contexts: DataFrame, known: int, reach: int) -> DataFrame:
-    """(n_words, doc_ids, starts, keys) of each repeat; without n_words, an occurrence to treat again."""
-    doc = contexts.schema["doc_id"].dataType
-    out = T.StructType(
-        [
-            T.StructField("n_words", T.IntegerType()),
-            T.StructField("doc_ids", T.ArrayType(doc)),
-            T.StructField("starts", T.ArrayType(T.IntegerType())),
-            T.StructField("keys", T.ArrayType(T.LongType())),
-            *(T.StructField(n, T.LongType()) for n in ("gram", "class", "key")),
-            *(T.StructField(n, T.IntegerType()) for n in ("pos", "span")),
-        ]
-    )
+    """(repeat, n_words, n, key, doc_id, start, leads, copies) of each occurrence of each repeat; without n_words, an occurrence to treat again."""
+    fields = [("repeat", T.LongType()), ("n_words", T.IntegerType()), ("n", T.LongType()), ("key", T.LongType()), ("doc_id", contexts.schema["doc_id"].dataType)]
+    fields += [("start", T.IntegerType()), ("leads", T.BooleanType()), ("copies", T.LongType()), ("gram", T.LongType()), ("class", T.LongType()), ("span", T.IntegerType())]
+    out = T.StructType([T.StructField(n, t) for n, t in fields])
 
     def treat(group: pa.Table, sink: _Sink) -> None:
         key, pos, span, before = (group.column(n).to_numpy() for n in ("key", "pos", "span", "before"))
@@ -371,44 +447,49 @@ def _found(contexts: DataFrame, known: int, reach: int) -> DataFrame:
         found, again = subtree(left, right, back, span % 64, known, reach)
         if not found and not again:
             return
-        ids = group.column("doc_id").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0, pos[i]))
-        place = np.empty(len(ids), dtype=np.int64)
-        place[order] = np.arange(len(ids))
+        doc, copies = group.column("doc_id").combine_chunks(), group.column("copies").to_numpy()
+        place = np.empty(len(key), dtype=np.int64)
+        ids = doc.to_pylist()
+        by = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0, key[i], pos[i]))
+        place[by] = np.arange(len(ids))
         for depth, length, rows in found:
             rows = rows[np.argsort(place[rows])]
-            sink.repeat(depth + length, [ids[i] for i in rows], pos[rows] - depth, key[rows])
-        gram = group.column("gram")[0].as_py()
+            sink.repeat(depth + length, doc, key, pos - depth, copies, rows)
+        gram = int(group.column("gram")[0].as_py())
         for rows in again:
             kind = int(words.mix(np.bitwise_xor.reduce(words.mix(right[rows[0]] + np.arange(right.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))).reshape(1)).view(np.int64)[0])
-            for i in rows:
-                sink.again(gram, kind, int(key[i]), int(pos[i]), int(span[i]))
+            sink.again(gram, kind, doc, key, pos, span, copies, rows)
 
     class _Sink:
         def __init__(self):
-            self.rows, self.held = [], 0
+            self.parts, self.held = [], 0
 
-        def repeat(self, n, ids, starts, keys):
-            self.rows.append((n, ids, starts, keys, None, None, None, None, None))
-            self.held += len(ids)
+        def add(self, rows, doc, **columns):
+            columns["doc_id"] = doc.take(pa.array(rows))
+            arrays = [columns[n] if n == "doc_id" else pa.array(columns[n], kinds[n]) if n in columns else pa.nulls(len(rows), kinds[n]) for n, _ in fields]
+            self.parts.append(pa.RecordBatch.from_arrays(arrays, out.fieldNames()))
+            self.held += len(rows)
 
-        def again(self, *at):
-            self.rows.append((None, None, None, None, *at))
-            self.held += 1
+        def repeat(self, n, doc, key, start, copies, rows):
+            one = words.mix(words.mix(key[rows[:1]].view(np.uint64) + np.uint64(n)) + start[rows[:1]].astype(np.uint64)).view(np.int64)
+            full = lambda x: np.full(len(rows), x)
+            self.add(rows, doc, repeat=full(one[0]), n_words=full(n), n=full(copies[rows].sum()), key=key[rows], start=start[rows], leads=np.arange(len(rows)) == 0, copies=copies[rows])
 
-        def batch(self) -> pa.RecordBatch:
-            columns = zip(*self.rows) if self.rows else [()] * 9
-            kinds = (pa.int32(), None, pa.list_(pa.int32()), pa.list_(pa.int64()), *[pa.int64()] * 3, *[pa.int32()] * 2)
-            arrays = [pa.array(list(c), type=k) if k is not None else pa.array(list(c), type=pa.list_(self.doc)) for c, k in zip(columns, kinds)]
-            self.rows, self.held = [], 0
-            return pa.RecordBatch.from_arrays(arrays, out.fieldNames())
+        def again(self, gram, kind, doc, key, pos, span, copies, rows):
+            full = lambda x: np.full(len(rows), x)
+            self.add(rows, doc, key=key[rows], start=pos[rows], copies=copies[rows], gram=full(gram), span=span[rows], **{"class": full(kind)})
+
+        def batches(self) -> list[pa.RecordBatch]:
+            parts, self.parts, self.held = self.parts, [], 0
+            return pa.Table.from_batches(parts).combine_chunks().to_batches() if parts else []
+
+    kinds = {"repeat": pa.int64(), "n_words": pa.int32(), "n": pa.int64(), "key": pa.int64(), "start": pa.int32(), "leads": pa.bool_(), "copies": pa.int64(), "gram": pa.int64(), "class": pa.int64(), "span": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink, held, now = _Sink(), [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sink.doc = batch.schema.field("doc_id").type
             gram, kind = batch.column("gram").to_numpy(), batch.column("class").to_numpy()
             edges = np.flatnonzero((gram[1:] != gram[:-1]) | (kind[1:] != kind[:-1])) + 1
             for a, b in zip([0, *edges], [*edges, batch.num_rows]):
@@ -419,20 +500,20 @@ def _found(contexts: DataFrame, known: int, reach: int) -> DataFrame:
                     now, held = key, []
                 held.append(batch.slice(a, b - a))
                 if sink.held > 50_000:
-                    yield sink.batch()
+                    yield from sink.batches()
         if held:
             treat(pa.Table.from_batches(held), sink)
-            yield sink.batch()
+            yield from sink.batches()
 
     return contexts.repartition("gram", "class").sortWithinPartitions("gram", "class").mapInArrow(run, out)
 
 
-def _repeats(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    keyed = _keyed(docs, id_col, text)
+def _occurrences(texts: DataFrame) -> DataFrame:
+    """(repeat, n_words, n, key, doc_id, start, leads, copies) of each occurrence of each repeat that isn't left to runs; copies of a text stand for all its documents."""
     by_gram = Window.partitionBy("gram")
     by_tail = Window.partitionBy("gram", "tail")
     wanted = (
-        _anchor_table(keyed)
+        _anchor_table(texts)
         .repartition("gram")
         .withColumn("lo", F.min("left").over(by_tail))
         .withColumn("hi", F.max("left").over(by_tail))
@@ -444,22 +525,73 @@ def _repeats(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     )
     every, known, reach = None, 0, REACH
     while True:
-        found = cut(_found(_contexts(keyed, wanted, reach), known, reach))
-        part = found.where("n_words is not null").select("n_words", "doc_ids", "starts", "keys")
+        found = cut(_found(_contexts(texts, wanted, reach), known, reach))
+        part = found.where("n_words is not null").drop("gram", "class", "span")
         every = part if every is None else every.unionByName(part)
-        wanted = found.where("n_words is null").select("gram", "class", "key", "pos", "span")
+        wanted = found.where("n_words is null").select("gram", "class", "key", F.col("start").alias("pos"), "span")
         if wanted.isEmpty():
             return every
         known, reach = reach, reach * WIDER
 
 
+def _whole(texts: DataFrame) -> DataFrame:
+    """(key, doc_id, n_words, copies) of texts of enough words that several documents have, and whether each is one run."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, data, offsets in words.slices(batch.column("text")):
+                start, end, first = words.find(data, offsets, words.SOLID)
+                n = np.diff(first)
+                long = np.flatnonzero(n >= LEAST)
+                if len(long):
+                    h = words.hashes(data, start, end)
+                    run = [_periodic(h[first[i] : first[i + 1]]) for i in long]
+                    key, doc, copies = (batch.column(c).take(pa.array(long + at)) for c in ("key", "doc_id", "copies"))
+                    yield pa.RecordBatch.from_arrays([key, doc, pa.array(n[long].astype(np.int32)), copies, pa.array(run)], ["key", "doc_id", "n_words", "copies", "run"])
+
+    return texts.where("copies > 1").mapInArrow(run, f"key long, doc_id {kind}, n_words int, copies long, run boolean").distinct()
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(n_words, n_occurrences, doc_ids, starts) of each maximal repeat.
+    """(repeat_id, doc_id, start, n_words, n_occurrences, period, phase), a row for each occurrence of each maximal repeat.
+
+    ``start`` is the number of the occurrence's first word. Rows with a ``period`` are runs, with their class as ``repeat_id``; they
+    stand for all repeats within them.
+    """
+    texts, copies = _once(_keyed(docs, id_col, text))
+    found = _occurrences(texts)
+    whole = cut(_whole(texts))
+    again = found.where("copies > 1 and start = 0").select("key", "n_words").distinct()
+    alone = whole.where("not run").join(again, ["key", "n_words"], "left_anti")
+    alone = alone.select(F.xxhash64("key", "n_words").alias("repeat"), "n_words", F.col("copies").alias("n"), "key", "doc_id", F.lit(0).alias("start"), "copies")
+    every = found.select(*alone.columns).unionByName(alone)
+    every = every.select("repeat", "n_words", "n", "key", "doc_id", "start", "copies", F.lit(None).cast("int").alias("period"), F.lit(None).cast("int").alias("phase"))
+    run = _run_table(texts).select(F.col("class").alias("repeat"), "n_words", F.col("n_occurrences").alias("n"), "key", "doc_id", "start", "copies", "period", "phase")
+    every = every.unionByName(run)
+    others = every.where("copies > 1").drop("doc_id").join(copies.select("key", "doc_id"), "key").select(*every.columns)
+    return every.where("copies = 1").unionByName(others).select(
+        F.col("repeat").alias("repeat_id"), "doc_id", "start", "n_words", F.col("n").alias("n_occurrences"), "period", "phase"
+    )
+
+
+def expanded(rows: list[tuple], texts: dict) -> list[tuple[int, list[tuple]]]:
+    """(n_words, occurrences (document, start)) of each maximal repeat within the runs of one class.
 
-    The two lists have the document and the number of the first word of each
-    occurrence, by id and place.
+    ``rows`` are its (document, start, n_words, period, phase); ``texts`` has each document's words. A sequence of the class is so many words from
+    a phase on, and occurs in each run that is long enough, once in each turn.
     """
-    return _repeats(docs, id_col, text).select("n_words", F.size("doc_ids").alias("n_occurrences"), "doc_ids", "starts")
+    out, period = [], rows[0][3]
+
+    def word(d, i):
+        return texts[d][i] if 0 <= i < len(texts[d]) else (d, i)
+
+    for phase in {r[4] for r in rows}:
+        for n in {m - (phase - f) % period - t for _, _, m, _, f in rows for t in range(0, m, period)}:
+            held = [(d, s + at) for d, s, m, _, f in rows for at in range((phase - f) % period, m - n + 1, period)] if n >= LEAST else []
+            if len({word(d, i - 1) for d, i in held}) > 1 and len({word(d, i + n) for d, i in held}) > 1:
+                out.append((n, sorted(held)))
+    return out
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -473,19 +605,36 @@ def _without(text: str, spans: list[tuple[int, int]]) -> str:
     return data[keep].tobytes().decode("utf-8", "surrogatepass")
 
 
+def _run_spans(runs_: DataFrame) -> DataFrame:
+    """(key, a, b): what of each run has come before, in an earlier run of its class or an earlier turn of its own.
+
+    A run has sequences of ``LEAST`` words from up to ``period`` phases. For each phase of each class the first run that has it is found by
+    an aggregate; a run's sequences from a phase whose first run is another are cut, and from its second turn on all are.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "start")
+    own = runs_.withColumn("place", order).withColumn("many", F.least(F.col("n_words") - LEAST + 1, F.col("period")))
+    phases = own.select("class", "key", "start", "n_words", "period", "place", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("at"), "phase")
+    phases = phases.withColumn("from", (F.col("phase") + F.col("at")) % F.col("period"))
+    firsts = phases.groupBy("class", "from").agg(F.min("place").alias("first"))
+    known = phases.join(F.broadcast(firsts) if small_enough(firsts.count()) else firsts, ["class", "from"])
+    before = known.where("first <> place")
+    spans = before.select("key", "start", "at", F.lit(LEAST).alias("long"))
+    turns = own.where(f"n_words - period >= {LEAST}").select("key", "start", F.col("period").alias("at"), (F.col("n_words") - F.col("period")).alias("long"))
+    spans = spans.unionByName(turns)
+    return spans.select("key", (F.col("start") + F.col("at")).alias("a"), (F.col("start") + F.col("at") + F.col("long")).alias("b"))
+
+
 def cut_out(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
     """The documents, with each repeat cut from the text wherever it occurs but first (by id and place).
 
-    Every passage stays once. Documents without repeats are unchanged; one of which no word is left is dropped.
+    Every passage stays once: a word is cut if it is in a sequence of ``LEAST`` words that has come before. Documents without repeats are unchanged; one of which no word is left is dropped.
     The column ``length``, if there is one, has the new length of a text that was cut.
     """
-    again = _repeats(docs, id_col, text).select(
-        F.explode(F.slice(F.arrays_zip("keys", "starts"), F.lit(2), F.greatest(F.size("keys") - 1, F.lit(0)))).alias("x"), "n_words"
-    )
-    spans = again.groupBy(F.col("x.keys").alias("_cut_key")).agg(
-        F.collect_set(F.struct(F.col("x.starts").alias("a"), (F.col("x.starts") + F.col("n_words")).alias("b"))).alias("_cut_spans")
-    )
-    spans = cut(spans)
+    texts, copies = _once(_keyed(docs, id_col, text))
+    spans = _occurrences(texts).where("not leads").select("key", F.col("start").alias("a"), (F.col("start") + F.col("n_words")).alias("b"))
+    spans = spans.unionByName(_run_spans(_run_table(texts)))
+    lists = cut(spans.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+    gone = cut(copies.where("not doc_id <=> lead").join(_whole(texts).select("key"), "key", "left_semi").select("key", "doc_id"))
 
     @F.pandas_udf("string")
     def less(texts, lists):
@@ -494,14 +643,21 @@ def cut_out(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
         out = [t if s is None else _without(t, [(x["a"], x["b"]) for x in s]) for t, s in zip(texts, lists)]
         return pd.Series(out, dtype=object)
 
-    small = F.broadcast(spans) if small_enough(spans.count(), 20_000) else spans
-    keyed = docs.withColumn("_cut_key", F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text}`")))
-    joined = keyed.join(small, "_cut_key", "left")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    whole = joined.where("_cut_spans is null").select(*columns)
-    shorter = joined.where("_cut_spans is not null").withColumn("_cut_text", less(F.col(f"`{text}`"), F.col("_cut_spans")))
-    shorter = shorter.where(F.trim(F.regexp_replace("_cut_text", r"\s+", "")) != "")
-    new = {text: F.col("_cut_text"), length: F.length("_cut_text").cast(docs.schema[length].dataType) if length in docs.columns else None}
+    key, at, new_text = (free_name(docs, n) for n in ("_cut_key", "_cut_spans", "_cut_text"))
+    lists = lists.toDF(key, at)
+    lists = F.broadcast(lists) if small_enough(lists.count(), 20_000) else lists
+    keyed = docs.withColumn(key, F.xxhash64(F.col(f"`{text}`")))
+    if n := gone.count():
+        gone = gone.select(F.col("key").alias("gone_key"), F.col("doc_id").alias("gone_id"))
+        gone = F.broadcast(gone) if small_enough(n) else gone
+        keyed = keyed.join(gone, (keyed[f"`{key}`"] == F.col("gone_key")) & keyed[f"`{id_col}`"].eqNullSafe(F.col("gone_id")), "left_anti")
+    joined = keyed.join(lists, key, "left")
+    whole = joined.where(F.col(f"`{at}`").isNull()).select(*(F.col(f"`{c}`") for c in docs.columns))
+    shorter = joined.where(F.col(f"`{at}`").isNotNull()).withColumn(new_text, less(F.col(f"`{text}`"), F.col(f"`{at}`")))
+    shorter = shorter.where(F.trim(F.regexp_replace(F.col(f"`{new_text}`"), r"\s+", "")) != "")
+    new = {text: F.col(f"`{new_text}`")}
+    if length in docs.columns:
+        new[length] = F.length(F.col(f"`{new_text}`")).cast(docs.schema[length].dataType)
     return whole.unionByName(shorter.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns)))
 
 

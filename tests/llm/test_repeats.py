@@ -55,43 +55,126 @@ def made():
     return [*docs, (60, " ".join(base)), (61, " ".join(base)), (62, ""), (63, None), (64, "short text")]
 
 
+def found(spark, docs):
+    """The repeats that are given, those within runs written out."""
+    rows = R.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    texts = {d: (t or "").split() for d, t in docs}
+    single, runs, out = defaultdict(list), defaultdict(list), []
+    for r in rows:
+        if r.period is None:
+            single[r.repeat_id, r.n_words].append((r.doc_id, r.start))
+        else:
+            runs[r.repeat_id].append((r.doc_id, r.start, r.n_words, r.period, r.phase))
+        assert texts[r.doc_id][r.start : r.start + r.n_words].__len__() == r.n_words
+    for r in rows:
+        assert r.n_occurrences == len(single[r.repeat_id, r.n_words] if r.period is None else runs[r.repeat_id])
+    out += [(n, tuple(sorted(at))) for (_, n), at in single.items()]
+    for held in runs.values():
+        out += [(n, tuple(at)) for n, at in R.expanded(held, texts)]
+    assert len(out) == len(set(out)) and len({k for k, _ in single}) == len(single)
+    return set(out)
+
+
 def test_all_maximal_repeats_with_all_occurrences(spark):
     docs = made()
-    got = [(r.n_words, tuple(zip(r.doc_ids, r.starts))) for r in R.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
-    assert len(got) == len(set(got)) and set(got) == brute(docs, R.LEAST)
+    assert found(spark, docs) == brute(docs, R.LEAST)
+
+
+def test_copies_of_texts(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"v{rng.randrange(500)}" for _ in range(n))
+    one, two, three = text(70), text(120), text(49)
+    docs = [(i, one) for i in range(5)] + [(10 + i, two) for i in range(3)] + [(20, f"x {two} y"), (21, three), (22, three), (23, f"{text(30)} {two.rsplit(None, 5)[0]}")]
+    docs += [(30 + i, "tick tock " * 40) for i in range(3)]
+    want = brute(docs, R.LEAST)
+    assert (70, tuple((i, 0) for i in range(5))) in want and found(spark, docs) == want
+
+
+def test_runs(spark):
+    """Runs by themselves, of several lengths, and followed by passages that others share."""
+    turn = [f"t{i}" for i in range(20)]
+    first = [(i, " ".join(turn * k)) for i, k in enumerate((6, 3, 5))]
+    assert found(spark, first) == brute(first, R.LEAST)
+    same = [(1, "a " * 200)]
+    assert len(brute(same, R.LEAST)) == 150 and found(spark, same) == brute(same, R.LEAST)
+    passage, turn = [f"p{i}" for i in range(80)], [f"t{i}" for i in range(7)]
+    docs = [(1, ["x"] + ["-"] * 300 + passage), (2, ["y"] + ["-"] * 120 + passage + ["z"]), (3, ["-"] * 70 + passage[:30])]
+    docs += [(4, ["q"] + turn * 40 + passage[:60]), (5, ["r"] + turn[3:] + turn * 12 + passage[:60] + ["s"]), (6, turn * 20)]
+    docs = [(i, " ".join(w)) for i, w in docs]
+    assert found(spark, docs) == brute(docs, R.LEAST)
+
+
+def test_any_runs(spark):
+    rng = random.Random(11)
+    vocab, passages = [f"w{i}" for i in range(30)], [[f"p{k}.{i}" for i in range(60)] for k in range(2)]
+    turns = [[rng.choice(vocab) for _ in range(p)] for p in (1, 2, 3, 12, 24, 25, 26, 31, 40)]
+    docs = []
+    for i in range(36):
+        words = [rng.choice(vocab) for _ in range(rng.randint(0, 3))]
+        for _ in range(rng.randint(1, 3)):
+            t = rng.choice(turns)
+            n = rng.choice([40, 51, 60, 74, 75, 90, 130, 200])
+            at = rng.randrange(len(t))
+            words += [t[(at + k) % len(t)] for k in range(n)]
+            words += rng.choice([[], ["z"], *passages, [rng.choice(vocab) for _ in range(5)]])
+        docs.append((i, " ".join(words)))
+    assert found(spark, docs) == brute(docs, R.LEAST)
+
+
+def cut_by_definition(docs, least):
+    """Texts less each word that is in ``least`` words that came before, by id and place."""
+    seen, out = set(), {}
+    for d, t in sorted(docs, key=lambda x: (x[0] is None, x[0] or 0)):
+        w = (t or "").split()
+        gone = [False] * len(w)
+        for i in range(len(w) - least + 1):
+            key = tuple(w[i : i + least])
+            if key in seen:
+                gone[i : i + least] = [True] * least
+            seen.add(key)
+        if not w or not all(gone):
+            out[d] = [x for x, g in zip(w, gone) if not g]
+    return out
+
+
+def test_cutting_is_that_of_the_definition(spark):
+    rng = random.Random(12)
+    turn = [f"t{i}" for i in range(9)]
+    docs = made()[:50] + [(100 + i, " ".join([rng.choice("xyz")] + [turn[(i + k) % 9] for k in range(rng.choice([52, 55, 58, 90]))] + ["end"])) for i in range(20)]
+    docs += [(200, docs[0][1]), (201, " ".join(turn * 30)), (202, " ".join(turn * 30))]
+    got = {r.doc_id: r.text.split() if r.text else [] for r in R.cut_out(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == cut_by_definition(docs, R.LEAST)
 
 
 def test_runs_and_cutting(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     docs = [
-        (1, "a " * 2000, 4000, "x"),
-        (2, f"before {passage} after", None, "x"),
-        (3, f"other {passage}\nend é", None, "x"),
-        (4, passage, None, "x"),
-        (5, "clean  text\nstays as it is", 26, "x"),
-        (5, None, 0, "x"),
-        (None, f"start {passage} stop", None, "x"),
+        (1, "a " * 2000, 4000, "x", 7),
+        (2, f"before {passage} after", None, "x", 7),
+        (3, f"other {passage}\nend é", None, "x", 7),
+        (4, passage, None, "x", 7),
+        (5, "clean  text\nstays as it is", 26, "x", 7),
+        (5, None, 0, "x", 7),
+        (5, None, 0, "x", 7),
+        (None, f"start {passage} stop", None, "x", 7),
     ]
-    df = spark.createDataFrame(docs, "doc_id long, text string, n_chars long, keys string")
-    rows = [(r.n_words, r.doc_ids) for r in R.repeats(df).collect()]
-    assert (1999, [1, 1]) in rows and (60, [2, 3, 4, None]) in rows
+    df = spark.createDataFrame(docs, "doc_id long, text string, n_chars long, keys string, _cut_key int")
+    rows = R.repeats(df).collect()
+    assert [(r.doc_id, r.start, r.n_words, r.period, r.phase) for r in rows if r.period] == [(1, 0, 2000, 1, 0)]
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.start) for r in rows if r.n_words == 60) == [(-1, 1), (2, 1), (3, 1), (4, 0)]
     left = R.cut_out(df)
     assert left.columns == df.columns
-    text = {(r.doc_id, r.text, r.n_chars) for r in left.collect()}
-    assert text == {(1, "a ", 2), (2, docs[1][1], None), (3, "other end é", 11), (5, docs[4][1], 26), (5, None, 0), (None, "start stop", 10)}
+    text = sorted(left.collect(), key=str)
+    assert text == sorted([(1, "a ", 2, "x", 7), docs[1], (3, "other end é", 11, "x", 7), docs[4], docs[5], docs[6], (None, "start stop", 10, "x", 7)], key=str)
 
 
-def test_runs_of_different_length_before_a_shared_passage(spark):
-    passage, turn = [f"p{i}" for i in range(80)], [f"t{i}" for i in range(7)]
-    docs = [(1, ["x"] + ["-"] * 300 + passage), (2, ["y"] + ["-"] * 120 + passage + ["z"]), (3, ["-"] * 70 + passage[:30])]
-    docs += [(4, ["q"] + turn * 40 + passage[:60]), (5, ["r"] + turn[3:] + turn * 12 + passage[:60] + ["s"]), (6, turn * 20)]
-    docs = [(i, " ".join(w)) for i, w in docs]
-    got = {(r.n_words, tuple(zip(r.doc_ids, r.starts))) for r in R.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    want = brute(docs, R.LEAST)
-    # What lies in runs only is given at their first turns.
-    beyond = {(n, at) for n, at in want if any("p0" in dict(docs)[d].split()[p : p + n] for d, p in at)}
-    assert {(200, ((1, 181), (2, 1))), (148, ((4, 193), (5, 1)))} <= beyond and beyond <= got
-    assert {n for n, _ in got} <= {n for n, _ in want}
+def test_a_long_text(spark):
+    rng = random.Random(13)
+    long = [f"n{rng.randrange(10**6)}" for _ in range(300_000)]  # over 2 MB
+    part = long[200_000:200_100]
+    docs = [(1, " ".join(long)), (2, " ".join(["x", *part, "y"])), (3, " ".join(long)), (4, "-" * 3_000_000)]
+    got = {(r.repeat_id, r.doc_id, r.start, r.n_words, r.n_occurrences) for r in R.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {x[1:] for x in got} == {(1, 200_000, 100, 3), (3, 200_000, 100, 3), (2, 1, 100, 3), (1, 0, 300_000, 2), (3, 0, 300_000, 2)}
 
 
 def test_no_rows(spark):
