@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Where vocabulary files are, unless the session's setting ``spark.bundlewright.tokenizers`` names another folder that executors have.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def tokenizers(spark: SparkSession) -> str:
+    """The folder of vocabulary files for this session."""
+    return spark.conf.get("spark.bundlewright.tokenizers", TOKENIZERS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,11 +4,11 @@ Offline, every string of the vocabulary is merged once: those that come out as
 one token are proved to encode alone as one, and since merging never crosses a
 pre-token's ends, a pre-token equal to such a string is one token wherever it
 stands. Such pre-tokens are counted by lookup; only the rest are merged, and
-their lengths are remembered in a table of bounded size.
+their lengths are remembered in a table of bounded size. The proof is made once, by the driver, and sent to the workers.
 
 Defined cases: a null text has null counts; an empty one has zeros; texts of any
 length are counted whole; repeated rows each give a row; an empty table gives
-no rows; other columns are ignored.
+no rows; other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bundlewright.llm import pretokens, words
-from bundlewright.llm.common import TOKENIZERS, sole, table
+from bundlewright.llm.common import TOKENIZERS, sole, table, tokenizers
 
 #: Merged pre-tokens that a worker remembers before it starts anew.
 REMEMBERED = 300_000
@@ -60,8 +60,8 @@ def proved_whole(folder: str = TOKENIZERS) -> frozenset[str]:
 class Lengths:
     """Numbers of tokens of many pre-tokens at once: proved strings are 1, others are merged when first met."""
 
-    def __init__(self, folder: str):
-        self.proved, self.merge = proved_whole(folder), _merger(folder)
+    def __init__(self, folder: str, proved: frozenset[str] | None = None):
+        self.proved, self.merge = proved_whole(folder) if proved is None else proved, _merger(folder)
         self._anew()
 
     def _anew(self) -> None:
@@ -88,15 +88,20 @@ class Lengths:
         return out
 
 
-@lru_cache(4)
-def lengths(folder: str) -> Lengths:
-    return Lengths(folder)
+_LENGTHS: dict[str, Lengths] = {}
+
+
+def lengths(folder: str, proved: frozenset[str] | None = None) -> Lengths:
+    """Those of this process."""
+    if folder not in _LENGTHS:
+        _LENGTHS[folder] = Lengths(folder, proved)
+    return _LENGTHS[folder]
 
 
-def count_texts(data: np.ndarray, offsets: np.ndarray, folder: str = TOKENIZERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def count_texts(data: np.ndarray, offsets: np.ndarray, folder: str = TOKENIZERS, proved: frozenset[str] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(tokens, pre-tokens, pre-tokens that are one token) of each text."""
     start, end, first = pretokens.find(data, offsets)
-    each = lengths(folder).of(data, start, end)
+    each = lengths(folder, proved).of(data, start, end)
     tokens, whole = (np.concatenate([[0], np.cumsum(x)])[first] for x in (each, each == 1))
     return np.diff(tokens), np.diff(first), np.diff(whole)
 
@@ -111,10 +116,11 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fo
     """One row for each document with its exact number of tokens; the documents aren't shuffled."""
     narrow = sole(docs, id_col, text).toDF("doc_id", "text")
     kind = narrow.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(proved_whole(folder))  # at most the vocabulary
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [count_texts(data, offsets, folder) for _, data, offsets in words.slices(batch.column(1))]
+            parts = [count_texts(data, offsets, folder, shared.value) for _, data, offsets in words.slices(batch.column(1))]
             missing = batch.column(1).is_null().to_numpy(zero_copy_only=False)
             columns = [pa.array(np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]).astype(np.int64), mask=missing) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_tokens", "n_pretokens", "n_whole"])
@@ -124,7 +130,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fo
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"))
+    return count_tokens(table(spark, sf_dir, "documents"), folder=tokenizers(spark))
 
 
 QUERIES = {"op8_token_counts": op8_token_counts}

@@ -11,22 +11,25 @@ prefix of v'. That many bytes of lookahead are sufficient: a token that ends
 further than this before the end of the known text is never changed by what
 follows. And what follows a final token is segmented as if it stood alone.
 
-**Encoder.** Text comes in parts of any size. Pre-tokens are cut off as soon as
-no continuation can change them; a pre-token longer than ``Encoder.LONG`` is fed
-to the transducer, which gives out tokens once they are stable. So neither a
-long text nor a long pre-token is held whole.
+**Encoder.** The bytes of texts come in blocks of ``BLOCK``, wherever those cut a text, so a text of any length is
+taken in by parts and never held whole. Of a text that goes on in the next block, all
+pre-tokens but the last two are final and go out at once; the last may grow, and with the one before
+it may be split anew at white space or an apostrophe, so these are held. Once the last is longer than ``LONG`` it is a run
+of one class, whose end is certain, and its bytes are passed on to a transducer for pre-tokens as they come, which gives out
+tokens once they are stable. Every pre-token goes through that transducer; what it gave for short ones is
+remembered, for whole blocks at a time.
 
 **Decoder.** A state machine over bytes holds at most the three of an unfinished
 character and gives out text for each group of tokens.
 
-Defined cases: a null text gives null tokens; an empty one no tokens; lone
+Defined cases: a null text gives null tokens; an empty one no tokens; texts of any length are encoded whole; lone
 surrogates are encoded as ``?``; bytes that aren't UTF-8 are decoded as U+FFFD for
-each ill-formed part; repeated rows each give a row; other columns are ignored.
+each ill-formed part, and so is an id that is null or unknown; null ids give a null text; repeated rows each give a row; an
+empty table gives no rows; other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -36,14 +39,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from bundlewright.llm import pretokens, words
-from bundlewright.llm.common import TOKENIZERS, sole, table
+from bundlewright.llm.common import TOKENIZERS, sole, table, tokenizers
 
-#: Characters of text that the encoder takes in at a time.
-PART = 1 << 16
+#: Bytes of text that the encoder takes in at a time.
+BLOCK = 1 << 19
 #: Pre-tokens whose ids a worker remembers before it starts anew.
-REMEMBERED = 300_000
-#: The same for those of whole batches, whose table is smaller for each.
-REMEMBERED_IN_BATCHES = 1_000_000
+REMEMBERED = 1_000_000
 #: Longer pre-tokens aren't remembered.
 LONGEST_REMEMBERED = 64
 
@@ -88,147 +89,166 @@ class PieceTransducer:
         yield from pretokens.merge(rest, self.pair_rank)
 
 
-class Ids(dict):
-    """Pre-token to its ids, as the bytes of 32-bit numbers."""
+class Vocabulary:
+    """Ids by token, merges and their lookahead."""
 
     def __init__(self, folder: str):
-        super().__init__()
         self.ids, self.pair_rank = pretokens.merges(folder)
         self.lookahead = sufficient_lookahead(self.pair_rank)
 
-    def encode(self, data: bytes) -> bytes:
-        if len(data) > 2 * self.lookahead:
-            machine = PieceTransducer(self.pair_rank, self.lookahead)
-            tokens = [*machine.feed(data), *machine.finish()]
-        else:
-            tokens = pretokens.merge(data, self.pair_rank)
-        return struct.pack(f"<{len(tokens)}i", *map(self.ids.__getitem__, tokens))
+    def machine(self) -> PieceTransducer:
+        return PieceTransducer(self.pair_rank, self.lookahead)
+
+    def numbers(self, tokens: Iterable[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.ids.__getitem__, tokens), dtype=np.int32)
 
-    def __missing__(self, piece: str) -> bytes:
-        data = piece.encode("utf-8", "replace")
-        out = self.encode(data)
-        if len(data) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = out
-        return out
+    def encode(self, data: bytes) -> np.ndarray:
+        """Ids of one whole pre-token."""
+        machine = self.machine()
+        return self.numbers([*machine.feed(data), *machine.finish()])
 
 
 @lru_cache(4)
-def ids_of(folder: str) -> Ids:
-    return Ids(folder)
+def vocabulary(folder: str) -> Vocabulary:
+    return Vocabulary(folder)
 
 
-class Batch:
-    """Ids of many pre-tokens at once; those met before are looked up, others go through the transducer or the merges."""
+class Pieces:
+    """Ids of many whole pre-tokens at once; those met before are looked up, others go through the transducer."""
 
     def __init__(self, folder: str):
-        self.table = ids_of(folder)
-        self.memory, self.pool = pretokens.Memory(REMEMBERED_IN_BATCHES), np.zeros(0, dtype=np.int32)
+        self.vocabulary = vocabulary(folder)
+        self._anew()
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, first): all ids, and each text's first place among them, with the total at the end."""
-        start, end, first = pretokens.find(data, offsets)
+    def _anew(self) -> None:
+        self.memory, self.pool = pretokens.Memory(REMEMBERED), np.zeros(0, dtype=np.int32)
+
+    def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first): all ids, and each pre-token's first place among them, with the total at the end."""
         h = pretokens.hashed(data, start, end)
         where, missing = self.memory.get(h)
         pool = self.pool
         if len(missing):
             new, one, back = np.unique(h[missing], return_index=True, return_inverse=True)
             at = missing[one]
-            pieces = [self.table.encode(data[a:b].tobytes()) for a, b in zip(start[at].tolist(), end[at].tolist())]
-            count = np.array([len(p) // 4 for p in pieces], dtype=np.int64)
-            pool = np.concatenate([pool, np.frombuffer(b"".join(pieces), dtype="<i4")])
-            spot = (len(self.pool) + np.cumsum(count) - count) << 24 | np.minimum(count, (1 << 24) - 1)
+            each = [self.vocabulary.encode(data[a:b].tobytes()) for a, b in zip(start[at].tolist(), end[at].tolist())]
+            count = np.array([len(e) for e in each], dtype=np.int64)
+            pool = np.concatenate([pool, *each])
+            spot = (len(self.pool) + np.cumsum(count) - count) << 24 | count
             where[missing] = spot[back]
             short = (end - start)[at] <= LONGEST_REMEMBERED
-            if self.memory.held + int(short.sum()) > REMEMBERED_IN_BATCHES:
-                self.memory, self.pool = pretokens.Memory(REMEMBERED_IN_BATCHES), np.zeros(0, dtype=np.int32)
+            if self.memory.held + int(short.sum()) > REMEMBERED:
+                self._anew()
             else:
                 self.memory.put(new[short], spot[short])
                 self.pool = pool
-        count = where & ((1 << 24) - 1)
+        count = where & ((1 << 24) - 1)  # a block has fewer bytes
         total = np.concatenate([[0], np.cumsum(count)])
         take = np.repeat((where >> 24) - total[:-1], count) + np.arange(total[-1])
-        return pool[take], total[first]
+        return pool[take], total
 
 
 @lru_cache(4)
-def batch_of(folder: str) -> Batch:
-    return Batch(folder)
+def pieces_of(folder: str) -> Pieces:
+    return Pieces(folder)
+
+
+def blocks(data: np.ndarray, offsets: np.ndarray, most: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """(row, bytes, offsets, goes_on): a column in blocks, each with its first row's number; ``goes_on`` if the next goes on in its last row."""
+    at, n, most = 0, int(offsets[-1]), most or BLOCK
+    row = 0
+    while True:
+        to = min(at + most, n)
+        while to < n and to > at and (data[to] & 0xC0) == 0x80:
+            to -= 1
+        last = int(np.searchsorted(offsets, to, side="left")) if to < n else len(offsets) - 1
+        edges = np.concatenate([[at], offsets[row + 1 : last], [to]])
+        goes_on = to < int(offsets[last])
+        yield row, data[at:to], edges - at, goes_on
+        if to >= n:
+            return
+        row, at = last - 1 if goes_on else last, to
 
 
 class Encoder:
-    """Ids of a text whose parts are fed one after another; each call gives the ids that are final by then.
-
-    At most the last two pre-tokens are held: the last may grow, and with the one
-    before it may be split anew at white space or an apostrophe. Once the last is
-    longer than ``LONG`` characters it is a run of one class, whose end is certain,
-    and is passed on to a transducer; of white space the last character stays, as
-    it goes to the word that follows.
-    """
+    """The transducer of texts: bytes go in block by block, ids come out once they are final."""
 
     LONG = 2048
     KINDS = {"space": regex.compile(r"\s+"), "letters": regex.compile(r"\p{L}+"), "digits": regex.compile(r"\p{N}+"), "other": regex.compile(r"[^\s\p{L}\p{N}]+")}
 
     def __init__(self, folder: str = TOKENIZERS):
-        self.table = ids_of(folder)
-        self.held = ""
-        self.run: PieceTransducer | None = None
-        self.kind = ""
-
-    def _pack(self, tokens: Iterable[bytes]) -> bytes:
-        numbers = list(map(self.table.ids.__getitem__, tokens))
-        return struct.pack(f"<{len(numbers)}i", *numbers)
-
-    def _take(self, text: str) -> bytes:
-        return self._pack(self.run.feed(text.encode("utf-8", "replace")))
+        self.vocabulary, self.pieces = vocabulary(folder), pieces_of(folder)
+        self.held, self.run, self.kind = np.zeros(0, dtype=np.uint8), None, ""
+
+    def _through_run(self, data: np.ndarray, ended: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+        """(ids, the bytes that are left, whether the run may go on): the part of a text that still belongs to the open run goes to its machine."""
+        text = data.tobytes().decode("utf-8", "surrogatepass")
+        found = self.KINDS[self.kind].match(text)
+        end = found.end() if found else 0
+        open_end = end == len(text) and not ended
+        if self.kind == "space" and (end < len(text) or not ended):
+            end = max(0, end - 1)  # the last blank goes to what follows
+        head = text[:end].encode("utf-8", "surrogatepass")
+        tokens = list(self.run.feed(head))
+        if not open_end:
+            tokens += self.run.finish()
+            self.run = None
+        return self.vocabulary.numbers(tokens), data[len(head) :], open_end
+
+    def feed(self, data: np.ndarray, offsets: np.ndarray, goes_on: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first): the ids that are final by now, and each row's first place among them, with the total at the end.
+
+        The first row goes on where the last one stopped, if that wasn't ended; ``goes_on`` says whether the last row does.
+        """
+        if len(self.held):
+            data = np.concatenate([self.held, data])
+            offsets = np.concatenate([[0], offsets[1:] + len(self.held)])
+        self.held = data[:0]
+        lead, rows = np.zeros(0, dtype=np.int32), len(offsets) - 1
+        if self.run is not None:
+            lead, rest, open_end = self._through_run(data[: offsets[1]], rows > 1 or not goes_on)
+            if open_end:
+                self.held = rest.copy()
+                return lead, np.array([0, len(lead)])
+            gone = int(offsets[1]) - len(rest)
+            data, offsets = data[gone:], np.concatenate([[0], offsets[1:] - gone])
+        start, end, first = pretokens.find(data, offsets)
+        stop = len(start)
+        if goes_on and first[-1] > first[-2]:
+            last = stop - 1
+            if end[last] - start[last] > self.LONG:
+                stop, text = last, data[start[last] :].tobytes().decode("utf-8", "surrogatepass")
+                self.kind = next(k for k, p in self.KINDS.items() if p.match(text[-1]))
+                self.run = self.vocabulary.machine()
+                head = text[: len(text) - (self.kind == "space")].encode("utf-8", "surrogatepass")
+                begun = self.vocabulary.numbers(self.run.feed(head))
+                self.held = data[start[last] + len(head) :].copy()
+            else:
+                stop = max(int(first[-2]), stop - 2)
+                self.held, begun = data[start[stop] :].copy(), lead[:0]
+            first = np.minimum(first, stop)
+        else:
+            begun = lead[:0]
+        ids, places = self.pieces.encode(data, start[:stop], end[:stop])
+        first = places[first] + len(lead)
+        first[0] = 0
+        first[-1] += len(begun)
+        return np.concatenate([lead, ids, begun]), first
 
-    def _close(self) -> bytes:
-        run, self.run = self.run, None
-        return self._pack(run.finish())
 
-    def feed(self, part: str) -> bytes:
-        self.held += part
-        out = []
-        if self.run is not None:
-            found = self.KINDS[self.kind].match(self.held)
-            end = found.end() if found else 0
-            more = end == len(self.held)
-            if self.kind == "space":
-                end = max(0, end - 1)
-            out.append(self._take(self.held[:end]))
-            self.held = self.held[end:]
-            if more:
-                return b"".join(out)
-            out.append(self._close())
-        pieces = pretokens.split(self.held)
-        if pieces and len(pieces[-1]) > self.LONG:
-            out += map(self.table.__getitem__, pieces[:-1])
-            last = pieces[-1]
-            self.kind = next(k for k, p in self.KINDS.items() if p.match(last[-1]))
-            self.run = PieceTransducer(self.table.pair_rank, self.table.lookahead)
-            end = len(last) - (self.kind == "space")
-            out.append(self._take(last[:end]))
-            self.held = last[end:]
-        elif len(pieces) > 2:
-            out += map(self.table.__getitem__, pieces[:-2])
-            self.held = "".join(pieces[-2:])
-        return b"".join(out)
-
-    def finish(self) -> bytes:
-        out = []
-        if self.run is not None:
-            out.append(self._take(self.held))
-            out.append(self._close())
-            self.held = ""
-        pieces, self.held = pretokens.split(self.held), ""
-        return b"".join([*out, *map(self.table.__getitem__, pieces)])
+def encode_texts(data: np.ndarray, offsets: np.ndarray, folder: str = TOKENIZERS, block: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, first): all ids of some texts, and each text's first place among them, with the total at the end."""
+    encoder, parts, count = Encoder(folder), [], np.zeros(len(offsets) - 1, dtype=np.int64)
+    for row, part, edges, goes_on in blocks(data, offsets, block):
+        ids, first = encoder.feed(part, edges, goes_on)
+        parts.append(ids)
+        count[row : row + len(first) - 1] += np.diff(first)
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(count)])
 
 
-def encode(text: str, folder: str = TOKENIZERS, part: int = PART) -> np.ndarray:
-    encoder = Encoder(folder)
-    out = [encoder.feed(text[at : at + part]) for at in range(0, len(text), part)]
-    return np.frombuffer(b"".join([*out, encoder.finish()]), dtype="<i4")
+def encode(text: str, folder: str = TOKENIZERS, block: int | None = None) -> np.ndarray:
+    data = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
+    return encode_texts(data, np.array([0, len(data)]), folder, block)[0]
 
 
 class Utf8Machine:
@@ -277,12 +297,17 @@ def _bytes_of(folder: str) -> list[bytes]:
     return out
 
 
-def decode(ids: Iterable[int] | np.ndarray, folder: str = TOKENIZERS, group: int = 1 << 14) -> str:
+def decode(ids: Iterable[int | None] | np.ndarray, folder: str = TOKENIZERS, group: int = 1 << 14) -> str:
     """Text of the ids, a group at a time."""
     known, machine, out = _bytes_of(folder), Utf8Machine(), []
     ids = ids.tolist() if isinstance(ids, np.ndarray) else list(ids)
     for at in range(0, len(ids), group):
-        out.append(machine.feed(b"".join(map(known.__getitem__, ids[at : at + group]))))
+        part = ids[at : at + group]
+        if None in part or min(part) < 0 or max(part) >= len(known):
+            part = [known[i] if i is not None and 0 <= i < len(known) else b"\xff" for i in part]
+            out.append(machine.feed(b"".join(part)))
+        else:
+            out.append(machine.feed(b"".join(map(known.__getitem__, part))))
     return "".join([*out, machine.finish()])
 
 
@@ -294,16 +319,11 @@ def encode_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offsets in words.slices(batch.column(1)):
-                rows = len(offsets) - 1
-                part = batch.slice(at, rows)
+                part = batch.slice(at, len(offsets) - 1)
                 missing = part.column(1).is_null().to_numpy(zero_copy_only=False)
-                if rows == 1 and len(data) > words.SLICE_BYTES:  # a text by itself: as a stream
-                    ids = encode(part.column(1)[0].as_py(), folder)
-                    first = np.array([0, len(ids)])
-                else:
-                    ids, first = batch_of(folder).encode(data, offsets)
+                ids, first = encode_texts(data, offsets, folder)
                 same = [None if t is None else decode(ids[a:b], folder) == t for t, a, b in zip(part.column(1).to_pylist(), first, first[1:])]
-                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=pa.array(missing))
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids), mask=pa.array(missing))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(np.diff(first), mask=missing), lists, pa.array(same, pa.bool_())],
                     ["doc_id", "n_tokens", "token_ids", "restored"],
@@ -326,7 +346,7 @@ def decode_table(encoded: DataFrame, id_col: str = "doc_id", ids: str = "token_i
 
 
 def op9_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_table(table(spark, sf_dir, "documents"))
+    return encode_table(table(spark, sf_dir, "documents"), folder=tokenizers(spark))
 
 
 QUERIES = {"op9_bpe_transducer": op9_bpe_transducer}
