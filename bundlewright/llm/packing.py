@@ -14,11 +14,12 @@ histogram of lengths: windows filled alike are one group with a count. It has
 at most as many rows as the longest tier has tokens, whatever the size of the
 corpus, and gives the same windows as packing piece by piece. A piece finds its
 window by its length and its rank among the pieces of that length; ranks are
-counted in ``BUCKETS`` parts, so a frequent length is no hot key.
+counted in parts of about ``PART_PIECES`` pieces, so a length that many have, such as that of the pieces of long documents, is no hot key.
 
-Defined cases: documents of null or no tokens take no room and have no row;
+Defined cases: documents of null or no tokens take no room and have no row; those of any length are cut and packed whole; a null id is
+an id like others, whose rows are spread by themselves;
 repeated rows are packed each; ties of length are ordered by a hash of the id,
-the id and the piece; an empty table gives no rows; other columns are ignored.
+the id and the piece; an empty table gives no rows; other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -35,12 +36,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from bundlewright.durable import cut
-from bundlewright.llm.common import TOKENIZERS, sole, table
+from bundlewright.llm.common import TOKENIZERS, sole, table, tokenizers
 from bundlewright.llm.token_counts import count_tokens
 
 TIERS = (512, 2048, 8192, 32768)
 STEP_TOKENS = 262_144
-BUCKETS = 8
+#: Pieces of one length whose ranks are counted together.
+PART_PIECES = 100_000
 _WIDE = 1 << 44
 
 
@@ -131,6 +133,7 @@ def pack(
     length: str = "n_tokens",
     tiers: tuple[int, ...] = TIERS,
     step_tokens: int = STEP_TOKENS,
+    part_pieces: int = PART_PIECES,
 ) -> DataFrame:
     """Where each piece of each document goes.
 
@@ -150,26 +153,29 @@ def pack(
         "piece",
         (F.col("piece").cast("long") * longest).alias("start"),
         F.least(F.lit(longest).cast("long"), F.col("total") - F.col("piece").cast("long") * longest).cast("int").alias("size"),
-        F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int").alias("bucket"),
+        F.when(F.col("doc_id").isNull(), F.xxhash64("piece", F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id", "piece")).alias("drawn"),
     )
     pieces = cut(pieces)
-    counts = pieces.groupBy("size", "bucket").count().collect()  # at most the longest tier times BUCKETS rows
-    before = np.zeros((longest + 1, BUCKETS + 1), dtype=np.int64)
-    for row in counts:
-        before[row["size"], row["bucket"] + 1] = row["count"]
-    before = before.cumsum(axis=1)
-    slots, windows = plan({n: int(c) for n, c in enumerate(before[:, -1]) if c}, tiers)
+    lengths_of = pieces.groupBy("size").agg(F.ceil(F.count(F.lit(1)) / part_pieces).cast("int").alias("parts"))  # at most as many rows as the longest tier has tokens
+    pieces = pieces.join(F.broadcast(lengths_of), "size").withColumn("bucket", F.pmod(F.xxhash64("drawn"), F.col("parts")).cast("int"))
+    counts = pieces.groupBy("size", "bucket").count().collect()  # and one more for each part
+    counts = np.array(sorted((r["size"], r["bucket"], r["count"]) for r in counts), dtype=np.int64).reshape(-1, 3)
+    total = np.bincount(counts[:, 0], weights=counts[:, 2], minlength=longest + 1).astype(np.int64)
+    # Places of (size, bucket) and the pieces of that size before each.
+    part = counts[:, 0] * _WIDE + counts[:, 1]
+    before = np.cumsum(counts[:, 2]) - counts[:, 2] - (np.cumsum(total) - total)[counts[:, 0]]
+    slots, windows = plan({n: int(c) for n, c in enumerate(total) if c}, tiers)
     sizes = np.array(tiers, dtype=np.int64)
     per_step = np.maximum(1, step_tokens // sizes)
     n_steps = np.maximum(1, -(-np.array(windows, dtype=np.int64) // per_step))
-    shared = lengths.sparkSession.sparkContext.broadcast((before, slots, sizes, n_steps))
+    shared = lengths.sparkSession.sparkContext.broadcast((part, before, slots, sizes, n_steps))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, slots, sizes, n_steps = shared.value
+        part, before, slots, sizes, n_steps = shared.value
         starts = slots[:, 0] * _WIDE + slots[:, 1]
         for batch in batches:
             size = batch.column("size").to_numpy().astype(np.int64)
-            rank = before[size, batch.column("bucket").to_numpy()] + batch.column("nth").to_numpy() - 1
+            rank = before[np.searchsorted(part, size * _WIDE + batch.column("bucket").to_numpy())] + batch.column("nth").to_numpy() - 1
             slot = slots[np.searchsorted(starts, size * _WIDE + rank, side="right") - 1]
             window = slot[:, 3] + rank - slot[:, 1]
             step = _steps(window, n_steps[slot[:, 2]])
@@ -188,7 +194,7 @@ def pack(
     out = T.StructType(
         [T.StructField("doc_id", kind), T.StructField("piece", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in longs)]
     )
-    by = Window.partitionBy("size", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id", "piece")
+    by = Window.partitionBy("size", "bucket").orderBy("drawn", "doc_id", "piece")
     ranked = pieces.withColumn("nth", F.row_number().over(by).cast("long"))
     return ranked.mapInArrow(place, out)
 
@@ -199,7 +205,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents"), folder=tokenizers(spark))
 
 
 QUERIES = {"op4_packing": op4_packing}
