@@ -13,17 +13,19 @@ def test_quality_rules_against_sql(spark, tmp_path):
         kind = i % 6
         words = [rng.choice(["alpha", "beta", "gamma", "delta", "of", "it"]) + str(rng.randrange(60)) for _ in range(rng.randint(1, 60))]
         text = [" ".join(words), " | ".join(words), "!! ".join(words).upper(), "same line\n" * 9, "", " ".join(["word"] * 30)][kind] if i % 5 else " ".join(words) + "."
-        rows.append((i, text, f"h{i % 7}" if kind != 4 else None, "x"))
-    rows += [(900, None, "h1", "x"), (1, rows[1][1], rows[1][2], "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, keep string")
-    got = sorted((r.doc_id, r.host, r.n_words, r.failed_rules, round(r.host_worst_rate, 6), r.host_bad, r.keep) for r in quality_rules.assess(df).collect())
+        rows.append((i, text, [f"h{i % 7}", f"https://www.Site{i % 3}.org:80/p?{i}"][i % 2] if kind != 4 else None, "x", i, i % 2 == 0))
+    rows += [(900, None, "h1", "x", 0, True), (1, rows[1][1], rows[1][2], "x", 0, None), (None, "a b c d", "h1", None, 0, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, host string, _q_host long, _Q_keep boolean")
+    got = sorted((r.doc_id or -1, r.host, r.n_words, r.failed_rules, round(r.host_worst_rate, 6), r.host_bad, r.keep) for r in quality_rules.assess(df).collect())
     df.write.parquet(str(tmp_path / "d"))
     found = duckdb.connect()
     found.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
-    want = sorted((a, b, c, d, round(e, 6), f, g) for a, b, c, d, e, f, g in found.execute(quality_rules.sql()).fetchall())
+    want = sorted((a or -1, b, c, d, round(e, 6), f, g) for a, b, c, d, e, f, g in found.execute(quality_rules.sql()).fetchall())
     assert got == want
     left = quality_rules.accepted(df)
-    assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == sorted(r[0] for r in got if r[6])
+    kept = left.collect()
+    assert left.columns == df.columns and sorted(r.doc_id or -1 for r in kept) == sorted(r[0] for r in got if r[6]) and set(kept) <= set(df.collect())
+    assert {r[1] for r in got} == {f"h{k}" for k in range(7)} | {f"site{k}.org" for k in range(3)} | {"(none)"}
     assert quality_rules.assess(df.limit(0)).count() == 0 and quality_rules.accepted(df.limit(0)).count() == 0
 
 
@@ -33,6 +35,17 @@ def test_few_documents_of_a_host_say_little(spark):
     assert rates["bad", "short"] > 0.9 > rates["one", "short"] and rates["h1", "short"] < 0.2
 
 
+def test_clean_texts_of_any_length_pass(spark):
+    """Words drawn as in natural text (by the inverse of their rank), from 50 words to half a million, of over 2 MB."""
+    rng = np.random.default_rng(3)
+    share = 1 / np.arange(1, 200_001) ** 1.1
+    words = np.array([f"{'abcdefghij'[k % 10]}{k:x}" for k in range(200_000)])
+    rows = [(n, " ".join(rng.choice(words, n, p=share / share.sum())), "h") for n in (50, 500, 5_000, 100_000, 500_000)]
+    rows += [(-n, " ".join(["same few words here again"] * n), "h") for n in (10, 1_000, 100_000)]
+    got = {r.doc_id: r for r in quality_rules.assess(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(("repeated_words" in r.failed_rules) == (k < 0) for k, r in got.items()) and got[500_000].n_words == 500_000
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     fit = docs.where("doc_id % 2 = 0")
