@@ -1,30 +1,32 @@
 """Operator 2: language identification by a sparse linear model.
 
 Features are the letter 1-, 2- and 3-grams of the lower-cased text, with anything
-but letters folded into one gap, weighted by (1 + ln tf) idf and scaled to unit
-length. Document frequencies are counted over all documents. The model is
+but letters folded into one gap, hashed from their code points to ``2 ** BITS`` numbers, weighted by (1 + ln tf) idf and scaled to unit
+length. Letters of every script are told apart. Document frequencies are counted over all documents. The model is
 multinomial logistic regression, fitted one document at a time by
 follow-the-regularised-leader with elastic-net penalties, which leaves most
-weights at exactly zero. A temperature fitted to held-back documents then
+weights at exactly zero; it has no features but those that the sample has. A temperature fitted to held-back documents then
 calibrates its probabilities.
 
-The fit reads a sample of the labelled documents, of ``TRAIN_DOCS`` expected, drawn
+The fit reads a sample of the labelled documents, of ``train_docs`` expected, drawn
 by a hash of the id evenly over the languages. That bound is the only one;
 statistics and predictions take in every document and the whole of its text.
 
 A document is rejected if it has no letters, or if no language reaches
-``MIN_CONFIDENCE`` though there are ``MIN_LETTERS``, enough to tell: the fewer letters, the less
-a low confidence says, so a short text isn't rejected for it.
+``min_confidence``.
 
 Defined cases: a null or empty text, or one without letters, is ``und`` with
-confidence 0 and rejected; rows with a null label are classified but not used
+confidence 0 and rejected; of languages that are as likely the first by name is given; texts of any length are taken whole; rows with a null label are classified but not used
 for fitting; without any label nothing can be told, and all documents are ``und``
-and kept; repeated rows each give a row; an empty table gives no rows.
+and kept; repeated rows each give a row; an empty table gives no rows; other columns, of whatever
+name, are ignored by :func:`identify` and kept by :func:`accepted`.
 """
 
 from __future__ import annotations
 
 import pickle
+import sys
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,61 +36,78 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bundlewright.llm.common import small_batches, sole, table
+from bundlewright.llm import words
+from bundlewright.llm.common import sole, table
 
 TRAIN_DOCS = 4_000
-MAX_FEATURES = 16_384
-MIN_DOCS = 2
-MIN_CONFIDENCE = 0.5
-MIN_LETTERS = 40
+MIN_CONFIDENCE = 0.3
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.2, 0.01
-_SPACE = 64 + 64**2 + 64**3
+#: Bits of a feature's number.
+BITS = 20
+#: Characters of text whose features are made at a time; a longer text is taken alone.
+SLICE_CHARS = 1 << 20
 
 
 @lru_cache(1)
 def _letters() -> np.ndarray:
-    """Code point to one of 64 symbols: 0 is no letter, 1 to 58 are those of Latin-1, the rest are shared by other scripts."""
-    codes = np.zeros(1 << 16, dtype=np.uint8)
-    latin = [*range(97, 123), *(c for c in range(0xDF, 0x100) if c != 0xF7)]
-    for k, c in enumerate(latin):
-        codes[c] = k + 1
-    for c in range(0x100, 1 << 16):
-        if chr(c).isalpha():
-            codes[c] = 59 + (c >> 7) % 5
-    return codes
-
-
-def symbols(text: str) -> np.ndarray:
-    """The text's symbols with one 0 before, after and in each gap; only zeros if there are no letters."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    codes = np.zeros(len(points) + 2, dtype=np.int32)
-    codes[1:-1] = _letters()[np.minimum(points, 0xFFFF)]
-    gap = codes == 0
-    keep = np.ones(len(codes), dtype=bool)
-    keep[1:] = ~(gap[1:] & gap[:-1])
-    return codes[keep]
-
-
-def grams(text: str) -> np.ndarray:
-    """Numbers of all 1-, 2- and 3-grams, in no order."""
-    c = symbols(text)
-    two = c[:-1] * 64 + c[1:]
-    three = two[:-1] * 64 + c[2:]
-    return np.concatenate([c[c > 0], two + 64, three + (64 + 64**2)])
+    """Whether each code point is a letter, or a mark that belongs to one."""
+    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(sys.maxunicode + 1)])
+
+
+def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, count, first): each text's distinct features, sorted, how often it has each, and each text's first place, with the total at the end."""
+    lowered = [(t or "").lower() for t in texts]
+    size = np.array([len(t) for t in lowered], dtype=np.int64)
+    points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    # One gap before each text and one after the last; gaps in a row are one.
+    row = np.repeat(np.arange(len(texts)), size + 1)
+    code = np.zeros(len(points) + len(texts) + 1, dtype=np.uint64)
+    place = np.arange(len(points)) + np.repeat(np.arange(1, len(texts) + 1), size)
+    code[place] = np.where(_letters()[points], points, 0)
+    row = np.append(row, len(texts))
+    keep = np.ones(len(code), dtype=bool)
+    keep[1:] = (code[1:] != 0) | (code[:-1] != 0) | (row[1:] != row[:-1])
+    code, row = code[keep], row[keep]
+    # A text's letters stand between its own gap and the next text's, which ends it.
+    shift = np.uint64(64 - BITS)
+    one = words.mix(code + np.uint64(1))
+    two = words.mix(one[:-1] * np.uint64(3) + code[1:])
+    three = words.mix(two[:-1] * np.uint64(3) + code[2:])
+    own = row.astype(np.uint64) << np.uint64(BITS)
+    letter = code != 0
+    inside2 = (letter[:-1] | letter[1:]) & ((row[:-1] == row[1:]) | ~letter[1:])
+    inside3 = letter[1:-1] & ((row[:-2] == row[2:]) | ~letter[2:])
+    inside3 |= letter[:-2] & ~letter[1:-1] & letter[2:] & (row[:-2] == row[2:])
+    key = np.concatenate([(own | one >> shift)[letter], (own[:-1] | two >> shift)[inside2], (own[:-2] | three >> shift)[inside3]])
+    key.sort()
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+    count = np.diff(np.append(new, len(key)))
+    key = key[new]
+    first = np.searchsorted(key >> np.uint64(BITS), np.arange(len(texts) + 1, dtype=np.uint64))
+    return (key & np.uint64((1 << BITS) - 1)).astype(np.int64), count, first
+
+
+def slices(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in runs of about ``SLICE_CHARS``."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t or "") > SLICE_CHARS:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t or "")
+    if held:
+        yield held
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     """(feature, df) over all documents; each partition sends one row for each feature that it has."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, seen = np.zeros(_SPACE, dtype=np.int64), np.zeros(_SPACE, dtype=bool)
+        df = np.zeros(1 << BITS, dtype=np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t:
-                    seen[grams(t)] = True
-                    hit = np.flatnonzero(seen)
-                    df[hit] += 1
-                    seen[hit] = False
+            for part in slices(batch.column(0).to_pylist()):
+                df += np.bincount(grams(part)[0], minlength=1 << BITS)
         found = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(df[found])], ["feature", "df"])
 
@@ -97,12 +116,13 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Model:
-    """Vocabulary, idf, weights, bias, temperature and class names."""
+    """idf of all features, weights of those that have any, bias, temperature and class names."""
 
-    def __init__(self, features: np.ndarray, idf: np.ndarray):
-        self.features, self.idf = features, idf
+    def __init__(self, idf: np.ndarray):
+        self.idf = idf
         self.classes: list[str] = []
-        self.weights = np.zeros((len(features), 0))
+        self.features = np.zeros(0, dtype=np.int64)
+        self.weights = np.zeros((1, 0))  # the last row is for features without weights
         self.bias = np.zeros(0)
         self.temperature = 1.0
         self._places: np.ndarray | None = None
@@ -110,40 +130,40 @@ class Model:
     def __getstate__(self):
         return {**self.__dict__, "_places": None}
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(places, values) of the text's TF-IDF vector."""
+    def vectors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(feature, value, first): the texts' TF-IDF vectors."""
+        feature, count, first = grams(texts)
+        x = (1.0 + np.log(count)) * self.idf[feature]
+        total = np.concatenate([[0.0], np.cumsum(x * x)])[first]
+        norm = np.sqrt(np.maximum(np.diff(total), 1e-300))
+        return feature, x / np.repeat(norm, np.diff(first)), first
+
+    def logits(self, feature: np.ndarray, x: np.ndarray, first: np.ndarray) -> np.ndarray:
         if self._places is None:
-            self._places = np.full(_SPACE, len(self.features), dtype=np.int32)
+            self._places = np.full(1 << BITS, len(self.features), dtype=np.int32)
             self._places[self.features] = np.arange(len(self.features))
-        counts = np.bincount(self._places[grams(text)], minlength=len(self.features) + 1)[:-1]
-        at = np.flatnonzero(counts)
-        x = (1.0 + np.log(counts[at])) * self.idf[at]
-        norm = np.sqrt(x @ x)
-        return at, x / norm if norm else x
-
-    def logits(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
-        return x @ self.weights[at] + self.bias
+        on = np.flatnonzero(self._places[feature] < len(self.features))
+        place, value = self._places[feature[on]], x[on]
+        edges = np.searchsorted(on, first)
+        out = np.empty((len(first) - 1, len(self.classes)))
+        for k in range(len(self.classes)):
+            out[:, k] = np.diff(np.concatenate([[0.0], np.cumsum(value * self.weights[place, k])])[edges])
+        return out + self.bias
 
-    def probabilities(self, text: str) -> np.ndarray | None:
-        """Calibrated; None if the text has no known feature."""
-        at, x = self.vector(text)
-        return _softmax(self.logits(at, x) / self.temperature) if len(at) else None
+    def probabilities(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(calibrated probabilities, whether the text has a letter)."""
+        feature, x, first = self.vectors(texts)
+        z = self.logits(feature, x, first) / self.temperature
+        return _softmax(z), np.diff(first) > 0
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max())
-    return e / e.sum()
+    e = np.exp(z - z.max(axis=-1, keepdims=True)) if z.shape[-1] else z
+    return e / e.sum(axis=-1, keepdims=True) if z.shape[-1] else z
 
 
-def fit(model: Model, texts: list[str], labels: list[str]) -> Model:
-    """Fit in the given order; every fifth document is held back for the temperature."""
-    model.classes = sorted(set(labels))
-    k, v = len(model.classes), len(model.features)
-    number = {c: i for i, c in enumerate(model.classes)}
-    rows = [(*model.vector(t), number[y]) for t, y in zip(texts, labels)]
-    held = rows[::5] if len(rows) >= 50 else rows
-    train = [r for i, r in enumerate(rows) if i % 5] if len(rows) >= 50 else rows
-    # The last row is the bias, which isn't penalised.
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], v: int, k: int) -> np.ndarray:
+    """Weights of ``v`` features (rows of places, values and class), and the bias, which isn't penalised, as the last row."""
     z, n = np.zeros((v + 1, k)), np.zeros((v + 1, k))
     l1, l2 = np.full((v + 1, 1), L1), np.full((v + 1, 1), L2)
     l1[v] = l2[v] = 0.0
@@ -154,7 +174,7 @@ def fit(model: Model, texts: list[str], labels: list[str]) -> Model:
         return np.where(np.abs(zz) <= l1[at], 0.0, w)
 
     for _ in range(EPOCHS):
-        for at, x, y in train:
+        for at, x, y in rows:
             at, x = np.append(at, v), np.append(x, 1.0)
             w = weights(at)
             p = _softmax(x @ w)
@@ -163,21 +183,46 @@ def fit(model: Model, texts: list[str], labels: list[str]) -> Model:
             squares = g * g
             z[at] += g - (np.sqrt(n[at] + squares) - np.sqrt(n[at])) / ALPHA * w
             n[at] += squares
-    w = weights(np.arange(v + 1))
-    model.weights, model.bias = w[:v], w[v]
-    scores = [(model.logits(at, x), y) for at, x, y in held]
-    model.temperature = _temperature(np.array([s for s, _ in scores]).reshape(-1, k), np.array([y for _, y in scores], dtype=int))
+    return weights(np.arange(v + 1))
+
+
+def fit(model: Model, texts: list[str], labels: list[str]) -> Model:
+    """Fit in the given order; every fifth document is held back for the temperature."""
+    model.classes = sorted(set(labels))
+    number = {c: i for i, c in enumerate(model.classes)}
+    feature, x, first = model.vectors(texts)
+    train = [i for i in range(len(texts)) if i % 5 < 4]
+    held = [i for i in range(len(texts)) if i % 5 == 4]
+    seen = np.unique(np.concatenate([feature[first[i] : first[i + 1]] for i in train]))
+    place = np.searchsorted(seen, feature)
+    rows = [(place[first[i] : first[i + 1]], x[first[i] : first[i + 1]], number[labels[i]]) for i in train]
+    w = ftrl(rows, len(seen), len(model.classes))
+    some = np.flatnonzero((w[:-1] != 0).any(axis=1))
+    model.features, model.weights, model.bias = seen[some], np.concatenate([w[some], np.zeros((1, w.shape[1]))]), w[-1]
+    model._places = None
+    scores = model.logits(feature, x, first)
+    model.temperature = _temperature(scores[held], np.array([number[labels[i]] for i in held], dtype=int))
     return model
 
 
 def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature of least cross-entropy, by golden section over its logarithm.
+    """The temperature of least cross-entropy, by golden section over its logarithm; 1 without documents or with one class.
 
     The targets are smoothed as in Platt's scaling, by one document over all of
     them: else documents that are all classed rightly would ask for certainty.
     """
     if not len(labels) or logits.shape[1] < 2:
         return 1.0
+    loss = cross_entropy(logits, labels)
+    low, high, ratio = np.log(0.05), np.log(20.0), (np.sqrt(5) - 1) / 2
+    for _ in range(60):
+        a, b = high - ratio * (high - low), low + ratio * (high - low)
+        low, high = (low, b) if loss(a) < loss(b) else (a, high)
+    return float(np.exp((low + high) / 2))
+
+
+def cross_entropy(logits: np.ndarray, labels: np.ndarray):
+    """The mean cross-entropy with smoothed targets, as a function of the temperature's logarithm."""
     k, off = logits.shape[1], 1.0 / (len(labels) + 2)
     target = np.full(logits.shape, off / (k - 1))
     target[np.arange(len(labels)), labels] = 1.0 - off
@@ -187,22 +232,19 @@ def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
         z = z - z.max(axis=1, keepdims=True)
         return float(np.mean(np.log(np.exp(z).sum(axis=1)) - (target * z).sum(axis=1)))
 
-    low, high, ratio = np.log(0.05), np.log(20.0), (np.sqrt(5) - 1) / 2
-    for _ in range(60):
-        a, b = high - ratio * (high - low), low + ratio * (high - low)
-        low, high = (low, b) if loss(a) < loss(b) else (a, high)
-    return float(np.exp((low + high) / 2))
+    return loss
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "lang", train_docs: int = TRAIN_DOCS) -> Model:
     """Count over all documents, then fit in one task on a sample bounded by ``train_docs``."""
     narrow = sole(docs, id_col, text, label).toDF("doc_id", "text", "lang")
-    top = document_frequencies(narrow).where(F.col("df") >= MIN_DOCS).orderBy(F.desc("df"), "feature").limit(MAX_FEATURES).collect()
-    sizes = {r["lang"]: r["count"] for r in narrow.where("lang is not null and text is not null").groupBy("lang").count().collect()}
+    found = document_frequencies(narrow).collect()  # at most 2 ** BITS rows
+    sizes = {r["lang"]: r["n"] for r in narrow.groupBy("lang").agg(F.count("text").alias("n"), F.count(F.lit(1)).alias("all")).collect()}
     total = narrow.count()
-    features = np.array([r["feature"] for r in top], dtype=np.int64)
-    idf = np.log((1 + total) / (1 + np.array([r["df"] for r in top], dtype=float))) + 1
-    model = Model(features, idf)
+    df = np.zeros(1 << BITS)
+    df[[r["feature"] for r in found]] = [r["df"] for r in found]
+    model = Model((np.log((1 + total) / (1 + df)) + 1).astype(np.float32))
+    sizes = {lang: n for lang, n in sizes.items() if lang is not None and n}
     if not sizes:
         return model
     share = F.lit(0.0)
@@ -221,16 +263,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", label: st
     return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()["model"])
 
 
-def verdict(model: Model, text: str | None, min_confidence: float = MIN_CONFIDENCE) -> tuple[str, float, bool]:
-    """(language, confidence, keep)."""
+def verdicts(model: Model, texts: list[str | None], min_confidence: float = MIN_CONFIDENCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language, confidence, keep) of each text."""
+    n = len(texts)
     if not model.classes:
-        return "und", 0.0, True
-    p = model.probabilities(text) if text else None
-    if p is None:
-        return "und", 0.0, False
-    best = int(p.argmax())
-    told = p[best] >= min_confidence or int((symbols(text) > 0).sum()) < MIN_LETTERS
-    return model.classes[best], float(p[best]), bool(told)
+        return np.full(n, "und", dtype=object), np.zeros(n), np.ones(n, dtype=bool)
+    parts = []
+    for some in slices(texts):
+        p, letters = model.probabilities(some)
+        best = p.argmax(axis=1)
+        sure = np.where(letters, p[np.arange(len(some)), best], 0.0)
+        lang = np.where(letters, np.array(model.classes, dtype=object)[best], "und")
+        parts.append((lang, sure, letters & (sure >= min_confidence)))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, dtype=object), np.zeros(0), np.zeros(0, dtype=bool))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -241,8 +286,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [verdict(shared.value, t, min_confidence) for t in batch.column(1).to_pylist()]
-            lang, confidence, keep = zip(*rows) if rows else ((), (), ())
+            lang, confidence, keep = verdicts(shared.value, batch.column(1).to_pylist(), min_confidence)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(lang, pa.string()), pa.array(confidence, pa.float64()), pa.array(keep, pa.bool_())],
                 ["doc_id", "lang", "confidence", "keep"],
@@ -257,9 +301,9 @@ def accepted(docs: DataFrame, model: Model, text: str = "text", min_confidence:
 
     @F.pandas_udf("boolean")
     def keep(texts: pd.Series) -> pd.Series:
-        return pd.Series([verdict(shared.value, t, min_confidence)[2] for t in texts], dtype=bool)
+        return pd.Series(verdicts(shared.value, texts.tolist(), min_confidence)[2], dtype=bool)
 
-    return small_batches(docs).where(keep.asNondeterministic()(F.col(f"`{text}`")))
+    return docs.where(keep.asNondeterministic()(F.col(f"`{text}`")))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

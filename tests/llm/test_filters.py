@@ -55,22 +55,109 @@ def test_language_held_out(spark):
     assert np.mean([r.told == r.lang for r in got]) > 0.98
     sure = np.mean([r.confidence for r in got])
     assert abs(sure - np.mean([r.told == r.lang for r in got])) < 0.05
-    assert (model.weights == 0).mean() > 0.5
+    assert len(model.features) < (model.idf < model.idf.max()).sum()  # some features that were met have no weight
 
 
 def test_language_cases(spark):
     schema = "doc_id long, text string, lang string, confidence string"
     rows = [(i, f"the quick brown fox {i} jumps over", "en", "x") for i in range(60)] + [(100 + i, f"der schnelle braune fuchs {i} springt über", "de", "x") for i in range(60)]
-    rows += [(900, None, "en", "x"), (901, "", None, "x"), (902, "123 !!", "de", "x"), (1, rows[1][1], "en", "x"), (None, rows[0][1], "en", "x"), (903, "kurz", None, "x")]
+    rows += [(900, None, "en", "x"), (901, "", None, "x"), (902, "123 !!", "de", "x"), (1, rows[1][1], "en", "x"), (None, rows[0][1], "en", "x"), (903, "kurz", None, "x"), (904, "the quick fox " * 200_000, None, "x")]
     df = spark.createDataFrame(rows, schema)
     model = language_id.train(df)
     got = {r.doc_id: r for r in language_id.identify(df, model).collect()}
     assert got[0].lang == "en" and got[100].lang == "de" and got[0].keep and got[100].keep
     assert all((got[k].lang, got[k].confidence, got[k].keep) == ("und", 0.0, False) for k in (900, 901, 902))
-    assert got[903].keep  # too short to be told, so not rejected
+    assert got[903].keep and got[904].keep and got[904].lang == "en"
     left = language_id.accepted(df, model)
     assert left.columns == df.columns and left.count() == len(rows) - 3
     empty = spark.createDataFrame([], schema)
     assert language_id.identify(empty, language_id.train(empty)).count() == 0
     unlabelled = spark.createDataFrame([(1, "text", None, "x")], schema)
     assert language_id.accepted(unlabelled, language_id.train(unlabelled)).count() == 1
+
+
+def brute_grams(text):
+    """Counts of letter 1-, 2- and 3-grams as strings, a gap as a blank."""
+    import re
+    import unicodedata
+    from collections import Counter
+
+    t = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower())
+    t = re.sub(" +", " ", f" {t} ")
+    return Counter(t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1) if t[i : i + n].strip())
+
+
+def test_features_are_the_grams_of_the_text():
+    texts = ["The quick, quick FOX", "", None, "a", "éa  日本語 b2b", "?!", "мир и ток", "हिन्दी भाषा", "x" * 50]
+    feature, count, first = language_id.grams(texts)
+    known = {}
+    for i, t in enumerate(texts):
+        want = brute_grams(t or "")
+        assert sorted(count[first[i] : first[i + 1]]) == sorted(want.values())
+        for g in want:
+            own, n, _ = language_id.grams([g]) if len(g) == 3 and " " not in g else (None, None, None)
+            if own is not None:
+                known[g] = set(own)
+                assert known[g] <= set(feature[first[i] : first[i + 1]]) | set(language_id.grams([f" {g}"])[0])
+    a, b = (set(language_id.grams([t])[0]) for t in ("мир", "ток"))
+    assert not a & b
+
+
+def test_fit_is_that_of_the_formulas():
+    """FTRL with elastic net over dictionaries, one coordinate at a time, and a search of temperatures."""
+    import math
+    from collections import Counter, defaultdict
+
+    texts = [f"{w} some text" for w in ("alpha one", "beta two", "alpha six", "gamma ten", "beta one", "alpha two", "gamma six", "beta ten", "alpha ten", "gamma two")]
+    labels = [t[0] for t in texts]
+    df = Counter(f for t in texts for f in set(language_id.grams([t])[0].tolist()))
+    idf = np.ones(1 << language_id.BITS, dtype=np.float32)
+    for f, n in df.items():
+        idf[f] = math.log(11 / (1 + n)) + 1
+    vectors = []
+    for t in texts:
+        f, c, _ = language_id.grams([t])
+        x = {a: (1 + math.log(b)) * float(idf[a]) for a, b in zip(f.tolist(), c.tolist())}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        vectors.append({a: v / norm for a, v in x.items()} | {"bias": 1.0})
+    z, n = defaultdict(float), defaultdict(float)
+    classes = sorted(set(labels))
+
+    def weight(f, k):
+        l1, l2 = (0, 0) if f == "bias" else (language_id.L1, language_id.L2)
+        v = z[f, k]
+        return 0.0 if abs(v) <= l1 else -(v - math.copysign(l1, v)) / ((language_id.BETA + math.sqrt(n[f, k])) / language_id.ALPHA + l2)
+
+    for _ in range(language_id.EPOCHS):
+        for i, x in enumerate(vectors):
+            if i % 5 == 4:
+                continue
+            w = {(f, k): weight(f, k) for f in x for k in classes}
+            score = {k: sum(v * w[f, k] for f, v in x.items()) for k in classes}
+            total = sum(math.exp(s) for s in score.values())
+            for k in classes:
+                for f, v in x.items():
+                    g = v * (math.exp(score[k]) / total - (labels[i] == k))
+                    sigma = (math.sqrt(n[f, k] + g * g) - math.sqrt(n[f, k])) / language_id.ALPHA
+                    z[f, k] += g - sigma * w[f, k]
+                    n[f, k] += g * g
+    model = language_id.fit(language_id.Model(idf), texts, labels)
+    got = {(f, k): model.weights[i, j] for i, f in enumerate(model.features.tolist()) for j, k in enumerate(classes)}
+    for f in {f for f, _ in z} - {"bias"}:
+        assert all(abs(got.get((f, k), 0.0) - weight(f, k)) < 1e-6 for k in classes)
+    assert all(abs(model.bias[j] - weight("bias", k)) < 1e-6 for j, k in enumerate(classes))
+    held = [4, 9]
+    feature, x, first = model.vectors(texts)
+    loss = language_id.cross_entropy(model.logits(feature, x, first)[held], np.array([classes.index(labels[i]) for i in held]))
+    grid = np.exp(np.linspace(np.log(0.05), np.log(20), 2_001))
+    assert abs(np.log(model.temperature) - np.log(min(grid, key=lambda t: loss(np.log(t))))) < 0.01
+
+
+def test_two_languages_of_one_script(spark):
+    """Words of one length in Cyrillic, told apart by their letters."""
+    rng = random.Random(7)
+    words = {"ru": ["это", "что", "был", "она", "они", "ещё", "где", "мой", "эти", "ыло"], "uk": ["цей", "той", "був", "вже", "які", "їхн", "ґед", "моє", "між", "інш"]}
+    rows = [(i, " ".join(rng.choices(words[k], k=12)), k) for i in range(400) for k in [("ru", "uk")[i % 2]]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(df, language_id.train(df)).collect()
+    assert np.mean([r.lang == rows[r.doc_id][2] for r in got]) > 0.99 and all(r.keep for r in got)
