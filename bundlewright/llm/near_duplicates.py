@@ -10,19 +10,21 @@ documents agree in a register with the probability Jaccard of their weights, a
 measure that doesn't change if a document is written twice over.
 
 Documents with equal shingles are taken together first. Of the rest, those that
-agree in all registers of a band are one bucket. In each bucket the first document is
-verified against every other, by the exact probability Jaccard of the whole texts, and has then
-no pair left there. Nor have two documents of one component; all others stay, linked or not. They are treated
-alike with four times as many leading documents, those of the bucket's smallest components and those with the
-most links, until the pairs left in all buckets are no more than the documents there are; then all of these are
-verified. So a bucket of many copies never needs all its pairs, one of unlike documents takes few rounds, and no pair
-of a bucket that could join two components is left out. Groups are the connected components of verified pairs.
+agree in all registers of a band are one bucket, and any two documents of a bucket are a pair. Groups are the connected
+components of the pairs whose exact probability Jaccard, of the whole texts, reaches the threshold.
+
+Not every pair must be verified for that: two documents that verified pairs already connect are in one group, whatever
+their own pair gives. That is the one rule by which a pair is left out. Pairs are verified in rounds, and it has no effect on the groups which
+come first. In each bucket some leading documents are verified against every other that isn't connected to them, and have then
+no pair left there; all others stay, linked or not. The leaders are four times as many in each round, those of the bucket's smallest components and those with the
+most links, and in the last round, once all pairs that are left are fewer than documents, all of a bucket's documents lead. So a
+bucket of many copies never needs all its pairs, and one of unlike documents takes few rounds.
 
 Defined cases: a null or empty text, or one without words, has no shingles and is
 in no group; nor is a row with a null id. Rows that share an id are one document,
-which is like another if any of its rows is. Ties have no effect: groups don't
-depend on the order of rows. An empty table gives no rows; other columns are
-ignored by :func:`groups` and kept by :func:`unique`.
+which is like another if any of its rows is. Texts of any length are taken whole. Ties have no effect: groups don't
+depend on the order of rows, nor on documents outside them. An empty table gives no rows; other columns, of whatever name, are
+ignored by :func:`groups` and kept by :func:`unique`. In scripts without blanks each character is a word.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql.window import Window
 
 from bundlewright.durable import cut
 from bundlewright.llm import words
-from bundlewright.llm.common import small_enough, sole, table
+from bundlewright.llm.common import free_name, small_enough, sole, table
 
 REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
@@ -267,18 +269,20 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshol
 
 def unique(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents less all but one of each group, with all their columns; of rows that share an id and a text one stays."""
+    gone_name, again_name, text_key = (free_name(docs, n) for n in ("_near_gone", "_near_again", "_near_text"))
     found = cut(groups(docs, id_col, text, threshold))
-    gone = found.where("not keep").select(F.col("doc_id").alias("_near_gone"))
+    gone = found.where("not keep").select(F.col("doc_id").alias(gone_name))
     gone = F.broadcast(gone) if small_enough(gone.count()) else gone
-    left = docs.join(gone, F.col(f"`{id_col}`") == F.col("_near_gone"), "left_anti")
-    repeated = sole(left, id_col).where(F.col(f"`{id_col}`").isNotNull()).groupBy(f"`{id_col}`").count().where("count > 1")
-    repeated = cut(repeated.select(F.col(f"`{id_col}`").alias("_near_again")))
+    left = docs.join(gone, F.col(f"`{id_col}`") == F.col(f"`{gone_name}`"), "left_anti")
+    repeated = sole(left, id_col).where(F.col(f"`{id_col}`").isNotNull()).groupBy(f"`{id_col}`").agg(F.count(F.lit(1)).alias(again_name + "n"))
+    repeated = cut(repeated.where(F.col(again_name + "n") > 1).select(F.col(f"`{id_col}`").alias(again_name)))
     n = repeated.count()
     if not n:
         return left
     again = F.broadcast(repeated) if small_enough(n) else repeated
-    on = F.col(f"`{id_col}`") == F.col("_near_again")
-    return left.join(again, on, "left_anti").unionByName(left.join(again, on, "left_semi").dropDuplicates([id_col, text]))
+    on = F.col(f"`{id_col}`") == F.col(f"`{again_name}`")
+    once = left.join(again, on, "left_semi").withColumn(text_key, F.xxhash64(F.col(f"`{text}`"))).dropDuplicates([id_col, text_key]).drop(text_key)
+    return left.join(again, on, "left_anti").unionByName(once)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

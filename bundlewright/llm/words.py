@@ -12,7 +12,7 @@ SLICE_BYTES = 2 << 20
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
-#: Bytes that belong to a word: letters, digits and all that isn't ASCII.
+#: Bytes that belong to a word: letters, digits and all that isn't ASCII, but for blanks and signs beyond it (see ``find``).
 ALNUM = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 #: Bytes that belong to a word: all but white space.
 SOLID = np.array([b not in b" \t\n\r\f\v" for b in range(256)])
@@ -48,13 +48,40 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.
     pa.default_memory_pool().release_unused()
 
 
+def _scripts(data: np.ndarray, solid: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Marks blanks and signs beyond ASCII as outside words; the places where a character starts or ends that is a word by itself.
+
+    ``inside`` is ``solid`` of each byte, with one more before and after. Scripts without blanks (Chinese, Japanese, Thai and its neighbours)
+    have a word for each character.
+    """
+    signs = not solid[ord("!")]  # else only white space divides
+    wide = np.flatnonzero((data >= 0xE0) & (data <= 0xE9))
+    wide = wide[wide + 2 < len(data)]
+    lead, second, third = data[wide], data[wide + 1], data[wide + 2]
+    blank = ((lead == 0xE2) & (((second == 0x80) & ((third <= 0x8A) | (third == 0xA8) | (third == 0xA9) | (third == 0xAF))) | ((second == 0x81) & (third == 0x9F)))) | (
+        (lead == 0xE3) & (second == 0x80) & (third == 0x80)
+    )
+    if signs:
+        blank |= ((lead == 0xE2) & (second <= 0x81)) | ((lead == 0xE3) & (second == 0x80) & (third < 0xA0))
+    gone = wide[blank]
+    for k in range(3):
+        inside[gone + 1 + k] = False
+    two = np.flatnonzero(data[:-1] == 0xC2)
+    two = two[np.isin(data[two + 1], [0xA0, 0xA1, 0xAB, 0xB7, 0xBB, 0xBF] if signs else [0xA0, 0x85])]
+    inside[two + 1] = inside[two + 2] = False
+    lone = wide[~blank & (((lead >= 0xE3) | ((lead == 0xE0) & ((second == 0xB8) | (second == 0xB9) | (second == 0xBA) | (second == 0xBB))) | ((lead == 0xE1) & ((second == 0x80) | (second == 0x81) | (second == 0x82) | (second == 0x9E) | (second == 0x9F)))))]
+    return np.concatenate([lone, lone + 3])
+
+
 def find(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first): each word's bytes, and for each row the number of words before it, with the total at the end."""
     inside = np.zeros(len(data) + 2, dtype=bool)
     inside[1:-1] = solid[data]
+    lone = _scripts(data, solid, inside)
     starts = inside[1:] & ~inside[:-1]
     ends = inside[:-1] & ~inside[1:]
     edge = offsets[(offsets > 0) & (offsets < len(data))]
+    edge = np.concatenate([edge, lone[(lone > 0) & (lone < len(data))]])
     across = edge[inside[edge] & inside[edge + 1]]
     starts[across] = ends[across] = True
     start, end = np.flatnonzero(starts), np.flatnonzero(ends)

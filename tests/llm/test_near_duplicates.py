@@ -6,7 +6,7 @@ import pyarrow as pa
 from bundlewright.llm import near_duplicates as nd
 from bundlewright.llm import words
 
-SCHEMA = "doc_id long, text string, head string, key string"
+SCHEMA = "doc_id long, text string, head string, _near_gone string"
 
 
 def vectors(texts):
@@ -108,5 +108,77 @@ def test_groups_around_an_original_that_is_not_the_least_id(spark):
     assert len(want) > 110 and got == {d: d // 100 * 100 for d in want}
 
 
+def components_of_bucket_pairs(texts):
+    """Groups by verifying every pair of every bucket."""
+    v = vectors([t for _, t in texts])
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for band in range(nd.BANDS):
+        buckets = {}
+        for i, (s, _, g) in enumerate(v):
+            if len(s):
+                buckets.setdefault(tuple(g[band * nd.ROWS : (band + 1) * nd.ROWS].tolist()), []).append(i)
+        for held in buckets.values():
+            for k, i in enumerate(held):
+                for j in held[:k]:
+                    if root(i) != root(j) and nd.probability_jaccard(*v[i][:2], *v[j][:2]) >= nd.THRESHOLD:
+                        parent[root(i)] = root(j)
+    out = {}
+    for i, (d, _) in enumerate(texts):
+        out.setdefault(root(i), set()).add(d)
+    return {min(x): x for x in out.values() if len(x) > 1}
+
+
+def test_every_pair_of_a_bucket_counts_whatever_else_there_is(spark):
+    """A chain and a crowd of loosely like documents, alone (all rounds) and among many others (one round)."""
+    rng = random.Random(21)
+    vocab = [f"c{i}" for i in range(4_000)]
+    chain = [rng.choice(vocab) for _ in range(60)]
+    texts = []
+    for i in range(150):
+        texts.append((i, " ".join(chain)))
+        for _ in range(4):
+            chain[rng.randrange(60)] = rng.choice(vocab)
+    base = [rng.choice(vocab) for _ in range(80)]
+    for i in range(200, 320):
+        copy = list(base)
+        for k in rng.sample(range(80), 9):
+            copy[k] = rng.choice(vocab)
+        texts.append((i, " ".join(copy)))
+    want = components_of_bucket_pairs(texts)
+    others = [(10_000 + i, " ".join(f"o{rng.randrange(10**6)}" for _ in range(20))) for i in range(6_000)]
+    for more in ([], others):
+        got = {}
+        for r in nd.groups(spark.createDataFrame(texts + more, "doc_id long, text string")).collect():
+            got.setdefault(r.group_id, set()).add(r.doc_id)
+        assert got == want
+
+
+def test_scripts_without_blanks_and_long_texts(spark):
+    rng = random.Random(22)
+    some = "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(300))
+    thai = "".join(chr(rng.randrange(0x0E01, 0x0E2F)) for _ in range(300))
+    long = " ".join(f"n{rng.randrange(10**6)}" for _ in range(300_000))
+    rows = [(1, some), (2, some[:150] + "新" + some[150:] + "。"), (3, thai), (4, thai + "ก"), (5, some[::-1]), (6, long), (7, long + " end"), (8, "«a» b—c"), (9, "a b c")]
+    got = {r.doc_id: r.group_id for r in nd.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 6: 6, 7: 6, 8: 8, 9: 8}
+
+
+def test_words_of_scripts():
+    def split(text, solid):
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        start, end, _ = words.find(data, np.array([0, len(data)]), solid)
+        return [data[a:b].tobytes().decode() for a, b in zip(start, end)]
+
+    assert split("née 日本語x ab、c “q” d\u00a0e\u3000f", words.ALNUM) == ["née", "日", "本", "語", "x", "ab", "c", "q", "d", "e", "f"]
+    assert split("née 日本x, “q” d\u00a0e\u3000f\u2003g", words.SOLID) == ["née", "日", "本", "x,", "“q”", "d", "e", "f", "g"]
+
+
 def test_no_rows(spark):
-    assert nd.groups(spark.createDataFrame([], SCHEMA)).count() == 0
+    empty = spark.createDataFrame([], SCHEMA)
+    assert nd.groups(empty).count() == 0 and nd.unique(empty).count() == 0
