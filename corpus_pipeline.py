@@ -3,7 +3,12 @@
 Each stage takes the documents that the one before kept and returns those that it keeps, with
 the columns of ``documents``; the last returns where each piece of each document goes. Every
 stage's result is written as Parquet to the folder that executors share, so a lost executor costs a
-part of one stage.
+part of one stage; it is deleted when the next stage's is written.
+
+Defined cases: a null or empty text, or one without letters, goes in the first stage, as no language can be told; a null label or source is
+like any other that says nothing; of rows that share an id and a text, or are like each other, one stays; rows with a null id are nobody's near
+duplicates, but repeats are cut from them (they come last in order); texts of any length go through whole; extra columns,
+whatever their names, are kept up to the last stage; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bundlewright.durable import checkpoint_dir
+from bundlewright.durable import checkpoint_dir, remove
 from bundlewright.llm import language_id, near_duplicates, packing, quality_rules, repeats
 
 
@@ -56,11 +61,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to the table of documents."""
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
 
 
