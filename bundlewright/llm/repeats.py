@@ -4,7 +4,7 @@ A word is a run of anything but white space. A repeat is a sequence of at least
 ``LEAST`` words with two occurrences or more, in one document or several; it is
 maximal if its occurrences are neither all preceded nor all followed by the same
 word (a document's ends count as words of their own). Every maximal repeat is given with all
-its occurrences, a row for each.
+its occurrences, which are listed by document.
 
 The suffix array of a corpus fits no machine, and most of it has no repeat, so
 it is split into the subtrees that do.
@@ -27,7 +27,7 @@ it is split into the subtrees that do.
    eight times the reach, until none is left. So lengths have no bound.
 
 **Equal texts.** A text that several documents have goes through these steps once. Each of its occurrences
-counts for all its documents, and the whole text is a repeat too.
+counts for all its documents, but is listed for one of them; the whole text is a repeat too, and is listed for each.
 
 **Runs.** A text that repeats itself after at most ``PERIOD`` words, for ``LEAST`` words or more, is a run: one of m words
 has some m repeats with some m occurrences each, too many to write out. A repeat that lies in runs alone repeats
@@ -462,26 +462,33 @@ def _found(contexts: DataFrame, known: int, reach: int) -> DataFrame:
 
     class _Sink:
         def __init__(self):
-            self.parts, self.held = [], 0
-
-        def add(self, rows, doc, **columns):
-            columns["doc_id"] = doc.take(pa.array(rows))
-            arrays = [columns[n] if n == "doc_id" else pa.array(columns[n], kinds[n]) if n in columns else pa.nulls(len(rows), kinds[n]) for n, _ in fields]
-            self.parts.append(pa.RecordBatch.from_arrays(arrays, out.fieldNames()))
-            self.held += len(rows)
+            self.repeats, self.agains, self.held = [], [], 0
 
         def repeat(self, n, doc, key, start, copies, rows):
-            one = words.mix(words.mix(key[rows[:1]].view(np.uint64) + np.uint64(n)) + start[rows[:1]].astype(np.uint64)).view(np.int64)
-            full = lambda x: np.full(len(rows), x)
-            self.add(rows, doc, repeat=full(one[0]), n_words=full(n), n=full(copies[rows].sum()), key=key[rows], start=start[rows], leads=np.arange(len(rows)) == 0, copies=copies[rows])
+            first = rows[0]
+            one = words.mix(words.mix(key[first : first + 1].view(np.uint64) + np.uint64(n)) + start[first : first + 1].astype(np.uint64)).view(np.int64)
+            self.repeats.append((len(rows), one[0], n, copies[rows].sum(), key[rows], start[rows], copies[rows], doc.take(pa.array(rows))))
+            self.held += len(rows)
 
         def again(self, gram, kind, doc, key, pos, span, copies, rows):
-            full = lambda x: np.full(len(rows), x)
-            self.add(rows, doc, key=key[rows], start=pos[rows], copies=copies[rows], gram=full(gram), span=span[rows], **{"class": full(kind)})
+            self.agains.append((len(rows), gram, kind, key[rows], pos[rows], copies[rows], span[rows], doc.take(pa.array(rows))))
+            self.held += len(rows)
 
-        def batches(self) -> list[pa.RecordBatch]:
-            parts, self.parts, self.held = self.parts, [], 0
-            return pa.Table.from_batches(parts).combine_chunks().to_batches() if parts else []
+        def batches(self) -> Iterator[pa.RecordBatch]:
+            for found, names in ((self.repeats, ("repeat", "n_words", "n", "key", "start", "copies", "doc_id")), (self.agains, ("gram", "class", "key", "start", "copies", "span", "doc_id"))):
+                if not found:
+                    continue
+                size, *columns = zip(*found)
+                size = np.array(size)
+                columns = dict(zip(names, columns))
+                doc = pa.concat_arrays(columns.pop("doc_id"))
+                arrays = {n: pa.array(np.repeat(np.array(c), size) if np.isscalar(c[0]) or np.ndim(c[0]) == 0 else np.concatenate(c), kinds[n]) for n, c in columns.items()} | {"doc_id": doc}
+                if found is self.repeats:
+                    leads = np.zeros(size.sum(), dtype=bool)
+                    leads[np.cumsum(size) - size] = True
+                    arrays["leads"] = pa.array(leads)
+                yield pa.RecordBatch.from_arrays([arrays[n] if n in arrays else pa.nulls(len(doc), kinds[n]) for n in out.fieldNames()], out.fieldNames())
+            self.repeats, self.agains, self.held = [], [], 0
 
     kinds = {"repeat": pa.int64(), "n_words": pa.int32(), "n": pa.int64(), "key": pa.int64(), "start": pa.int32(), "leads": pa.bool_(), "copies": pa.int64(), "gram": pa.int64(), "class": pa.int64(), "span": pa.int32()}
 
@@ -553,25 +560,39 @@ def _whole(texts: DataFrame) -> DataFrame:
     return texts.where("copies > 1").mapInArrow(run, f"key long, doc_id {kind}, n_words int, copies long, run boolean").distinct()
 
 
+def _every(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(key, doc_id, repeat_id, start, n_words, n_occurrences, period, phase): occurrences in each text, under its least id, and for the other ids the whole text."""
+    texts, copies = _once(_keyed(docs, id_col, text))
+    others = copies.where("not doc_id <=> lead").select("key", "doc_id")
+    found = _occurrences(texts).select("key", "doc_id", F.col("repeat").alias("repeat_id"), "start", "n_words", F.col("n").alias("n_occurrences"), "copies")
+    # A text that several documents have is a repeat; it may have been found already, if it is also a part of others.
+    known = found.where("copies > 1 and start = 0").select("key", "n_words", F.col("repeat_id").alias("known"), F.col("n_occurrences").alias("n"))
+    whole = cut(cut(_whole(texts)).where("not run").join(known, ["key", "n_words"], "left"))
+    whole = whole.select(
+        "key", "doc_id", F.coalesce("known", F.xxhash64("key", "n_words")).alias("repeat_id"), F.lit(0).alias("start"), "n_words", F.coalesce("n", "copies").alias("n_occurrences"), "known"
+    )
+    run = _run_table(texts)
+    run = run.select("key", "doc_id", F.col("class").alias("repeat_id"), "start", "n_words", "n_occurrences", "period", "phase", "copies")
+    one_run = _whole(texts).where("run").select("key")
+    parts = [found.drop("copies"), whole.where("known is null").drop("known"), whole.drop("doc_id", "known").join(others, "key"), run.drop("copies")]
+    parts.append(run.where("copies > 1").drop("doc_id", "copies").join(one_run, "key", "left_semi").join(others, "key"))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part, allowMissingColumns=True)
+    return every
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(repeat_id, doc_id, start, n_words, n_occurrences, period, phase), a row for each occurrence of each maximal repeat.
+    """(doc_id, n_repeats, repeats), a row for each document that has any: its occurrences of all maximal repeats.
 
-    ``start`` is the number of the occurrence's first word. Rows with a ``period`` are runs, with their class as ``repeat_id``; they
-    stand for all repeats within them.
+    ``repeats`` is a list, by place, of (repeat_id, start, n_words, n_occurrences, period, phase), where ``start`` is the number of the occurrence's first word.
+    Entries with a ``period`` are runs, with their class as ``repeat_id``; they stand for all repeats within them. Of documents with the same text
+    the one of least id has all occurrences, which are those of the others too; the others have the whole text as the repeat that it is.
     """
-    texts, copies = _once(_keyed(docs, id_col, text))
-    found = _occurrences(texts)
-    whole = cut(_whole(texts))
-    again = found.where("copies > 1 and start = 0").select("key", "n_words").distinct()
-    alone = whole.where("not run").join(again, ["key", "n_words"], "left_anti")
-    alone = alone.select(F.xxhash64("key", "n_words").alias("repeat"), "n_words", F.col("copies").alias("n"), "key", "doc_id", F.lit(0).alias("start"), "copies")
-    every = found.select(*alone.columns).unionByName(alone)
-    every = every.select("repeat", "n_words", "n", "key", "doc_id", "start", "copies", F.lit(None).cast("int").alias("period"), F.lit(None).cast("int").alias("phase"))
-    run = _run_table(texts).select(F.col("class").alias("repeat"), "n_words", F.col("n_occurrences").alias("n"), "key", "doc_id", "start", "copies", "period", "phase")
-    every = every.unionByName(run)
-    others = every.where("copies > 1").drop("doc_id").join(copies.select("key", "doc_id"), "key").select(*every.columns)
-    return every.where("copies = 1").unionByName(others).select(
-        F.col("repeat").alias("repeat_id"), "doc_id", "start", "n_words", F.col("n").alias("n_occurrences"), "period", "phase"
+    entry = F.struct("start", "n_words", "repeat_id", "n_occurrences", "period", "phase")
+    lists = _every(docs, id_col, text).groupBy("key", "doc_id").agg(F.sort_array(F.collect_list(entry)).alias("x"))
+    return lists.select(
+        "doc_id", F.size("x").alias("n_repeats"), F.transform("x", lambda x: F.struct(*(x[n].alias(n) for n in ("repeat_id", "start", "n_words", "n_occurrences", "period", "phase")))).alias("repeats")
     )
 
 

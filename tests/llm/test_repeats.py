@@ -55,23 +55,37 @@ def made():
     return [*docs, (60, " ".join(base)), (61, " ".join(base)), (62, ""), (63, None), (64, "short text")]
 
 
+def listed(df):
+    """(repeat_id, doc_id, start, n_words, n_occurrences, period, phase) of each entry."""
+    out = []
+    for r in R.repeats(df).collect():
+        assert r.n_repeats == len(r.repeats) > 0
+        out += [(x.repeat_id, r.doc_id, x.start, x.n_words, x.n_occurrences, x.period, x.phase) for x in r.repeats]
+    return out
+
+
 def found(spark, docs):
-    """The repeats that are given, those within runs written out."""
-    rows = R.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    """The repeats that are given, those within runs written out and those of equal texts for all of them."""
+    rows = listed(spark.createDataFrame(docs, "doc_id long, text string"))
     texts = {d: (t or "").split() for d, t in docs}
-    single, runs, out = defaultdict(list), defaultdict(list), []
-    for r in rows:
-        if r.period is None:
-            single[r.repeat_id, r.n_words].append((r.doc_id, r.start))
-        else:
-            runs[r.repeat_id].append((r.doc_id, r.start, r.n_words, r.period, r.phase))
-        assert texts[r.doc_id][r.start : r.start + r.n_words].__len__() == r.n_words
-    for r in rows:
-        assert r.n_occurrences == len(single[r.repeat_id, r.n_words] if r.period is None else runs[r.repeat_id])
-    out += [(n, tuple(sorted(at))) for (_, n), at in single.items()]
+    same = defaultdict(list)
+    for d, t in docs:
+        same[t].append(d)
+    like = {d: same[t] for d, t in docs}
+    single, runs, counts = defaultdict(set), defaultdict(set), {}
+    for repeat, d, start, n, count, period, phase in rows:
+        counts[repeat, n if period is None else 0] = count
+        for x in like[d]:
+            if period is None:
+                single[repeat, n].add((x, start))
+            else:
+                runs[repeat].add((x, start, n, period, phase))
+    assert all(counts[k] == len(v) for k, v in single.items()) and all(counts[k, 0] == len(v) for k, v in runs.items())
+    out = [(n, tuple(sorted(at))) for (_, n), at in single.items()]
     for held in runs.values():
-        out += [(n, tuple(at)) for n, at in R.expanded(held, texts)]
+        out += [(n, tuple(at)) for n, at in R.expanded(sorted(held), texts)]
     assert len(out) == len(set(out)) and len({k for k, _ in single}) == len(single)
+    assert {d for d in texts if len(texts[d]) >= R.LEAST and len(like[d]) > 1} <= {r[1] for r in rows}
     return set(out)
 
 
@@ -159,9 +173,9 @@ def test_runs_and_cutting(spark):
         (None, f"start {passage} stop", None, "x", 7),
     ]
     df = spark.createDataFrame(docs, "doc_id long, text string, n_chars long, keys string, _cut_key int")
-    rows = R.repeats(df).collect()
-    assert [(r.doc_id, r.start, r.n_words, r.period, r.phase) for r in rows if r.period] == [(1, 0, 2000, 1, 0)]
-    assert sorted((-1 if r.doc_id is None else r.doc_id, r.start) for r in rows if r.n_words == 60) == [(-1, 1), (2, 1), (3, 1), (4, 0)]
+    rows = listed(df)
+    assert [r[1:4] + r[5:] for r in rows if r[5]] == [(1, 0, 2000, 1, 0)]
+    assert sorted((-1 if r[1] is None else r[1], r[2]) for r in rows if r[3] == 60) == [(-1, 1), (2, 1), (3, 1), (4, 0)]
     left = R.cut_out(df)
     assert left.columns == df.columns
     text = sorted(left.collect(), key=str)
@@ -173,8 +187,8 @@ def test_a_long_text(spark):
     long = [f"n{rng.randrange(10**6)}" for _ in range(300_000)]  # over 2 MB
     part = long[200_000:200_100]
     docs = [(1, " ".join(long)), (2, " ".join(["x", *part, "y"])), (3, " ".join(long)), (4, "-" * 3_000_000)]
-    got = {(r.repeat_id, r.doc_id, r.start, r.n_words, r.n_occurrences) for r in R.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert {x[1:] for x in got} == {(1, 200_000, 100, 3), (3, 200_000, 100, 3), (2, 1, 100, 3), (1, 0, 300_000, 2), (3, 0, 300_000, 2)}
+    got = {r[1:5] for r in listed(spark.createDataFrame(docs, "doc_id long, text string"))}
+    assert got == {(1, 200_000, 100, 3), (2, 1, 100, 3), (1, 0, 300_000, 2), (3, 0, 300_000, 2)}
 
 
 def test_no_rows(spark):
