@@ -6,7 +6,7 @@ import json
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bundlewright.errors import IndexFormatError
@@ -14,14 +14,23 @@ from bundlewright.functions.signatures import SLOTS, minhash
 from bundlewright.functions.text import tokens, unique_tokens
 from bundlewright.operators.chunking import LINES, OVERLAP, chunks
 
-FORMAT = "bundlewright-1"
+FORMAT = "bundlewright-2"
 TABLES = ("chunks", "postings", "term_stats", "doc_stats", "corpus_stats", "file_terms", "minhash")
+#: Folders that saved postings are spread over by a hash of the term; a search opens those of its terms.
+BUCKETS = 64
+#: Chunks whose postings of one bucket are written by one task; more chunks are divided, so that a common term is no hot key.
+CHUNKS_EACH = 2_000_000
+#: Manifests and versions that stay after a save: readers of the one before may still be at work.
+KEPT = 2
 
 
 def postings(chunk_table: DataFrame) -> DataFrame:
     """(term, chunk_id, tf, dl): dl, the chunk's number of tokens, is kept here to save scoring a join."""
-    each = chunk_table.select("chunk_id", tokens(F.col("text")).alias("all"))
-    each = each.select("chunk_id", F.size("all").alias("dl"), F.explode("all").alias("term"))
+    return _counted(chunk_table.select("chunk_id", tokens(F.col("text")).alias("all")))
+
+
+def _counted(words: DataFrame) -> DataFrame:
+    each = words.select("chunk_id", F.size("all").alias("dl"), F.explode("all").alias("term"))
     return each.groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf")).select("term", "chunk_id", "tf", "dl")
 
 
@@ -47,6 +56,10 @@ def file_terms(files: DataFrame) -> DataFrame:
     return files.select("file", F.explode(unique_tokens(F.col("content"))).alias("term")).distinct()
 
 
+def term_bucket(term) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
 def signatures(chunk_table: DataFrame, k: int = SLOTS) -> DataFrame:
     """(chunk_id, sig); null for a chunk without tokens."""
     return chunk_table.select("chunk_id", minhash(unique_tokens(F.col("text")), k).alias("sig"))
@@ -63,22 +76,39 @@ class Index:
     corpus_stats: DataFrame
     file_terms: DataFrame
     minhash: DataFrame
+    #: Slots of signatures and whether chunks cover whole files, for a save.
+    slots: int = SLOTS
+    whole: bool = False
 
     def save(self, path: str) -> None:
-        """Write all tables to a folder of a new version, then point the manifest to it: readers never see half of one.
+        """Write all tables to a folder of a new version, then a manifest of the next number: readers take the newest, and never see half of one.
 
-        Postings are ordered by term within files, so that a search reads only the row groups of its terms.
+        Texts are cut and split into tokens once: chunks are written first, then their tokens, and every other table is derived from those.
+        Postings are spread over folders by a hash of the term and ordered by it within files, so a search opens the folders of its terms.
         """
         spark = self.chunks.sparkSession
         version = f"v-{uuid.uuid4().hex}"
-        for name in TABLES:
-            df = getattr(self, name)
-            if name in ("postings", "file_terms"):
-                df = df.repartitionByRange("term").sortWithinPartitions("term")
-            writer = df.write.option("parquet.bloom.filter.enabled#term", "true") if "term" in df.columns else df.write
-            writer.mode("overwrite").parquet(f"{path}/{version}/{name}")
+
+        def put(name: str, df: DataFrame, *by: str) -> DataFrame:
+            writer = df.write.option("parquet.bloom.filter.enabled#term", "true") if name == "postings" else df.write
+            (writer.partitionBy(*by) if by else writer).parquet(f"{path}/{version}/{name}")
+            return spark.read.parquet(f"{path}/{version}/{name}")
+
+        chunk_table = put("chunks", self.chunks)
+        words = put("_words", chunk_table.select("chunk_id", "file", tokens(F.col("text")).alias("all")))
+        parts = 1 + words.count() // CHUNKS_EACH
+        posted = _counted(words.select("chunk_id", "all")).withColumn("bucket", term_bucket(F.col("term")))
+        posted = posted.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(parts))).sortWithinPartitions("bucket", "term", "chunk_id")
+        put("term_stats", term_stats(put("postings", posted, "bucket")))
+        put("corpus_stats", corpus_stats(put("doc_stats", words.select("chunk_id", F.size("all").alias("dl")).where("dl > 0"))))
+        put("minhash", words.select("chunk_id", minhash(F.array_distinct("all"), self.slots).alias("sig")))
+        put("file_terms", words.select("file", F.explode(F.array_distinct("all")).alias("term")).distinct() if self.whole else self.file_terms)
+        fs, where = _file_system(spark, f"{path}/{version}/_words")
+        fs.delete(where, True)
+        numbers = _manifests(spark, path)
         manifest = json.dumps({"format": FORMAT, "version": version, "tables": list(TABLES)})
-        _write_text(spark, f"{path}/manifest.json", manifest)
+        _write_text(spark, f"{path}/manifest-{(numbers or [0])[-1] + 1:08d}.json", manifest)
+        _prune(spark, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
@@ -106,7 +136,7 @@ def build_index(files: DataFrame, lines: int = LINES, overlap: int = OVERLAP, sy
     table = chunks(files, lines, overlap, syntax)
     posted = postings(table)
     lengths = doc_stats(table)
-    return Index(table, posted, term_stats(posted), lengths, corpus_stats(lengths), file_terms(files), signatures(table, slots))
+    return Index(table, posted, term_stats(posted), lengths, corpus_stats(lengths), file_terms(files), signatures(table, slots), slots, not syntax)
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -116,21 +146,45 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write beside, then rename over."""
+    """Write beside, then rename to a name that nobody reads yet."""
     fs, where = _file_system(spark, path)
     _, beside = _file_system(spark, f"{path}.new")
     out = fs.create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(where, False)
     if not fs.rename(beside, where):
-        raise IndexFormatError(f"{path} can't be replaced")
+        raise IndexFormatError(f"{path} can't be written")
 
 
-def read_manifest(spark: SparkSession, path: str) -> dict:
-    fs, where = _file_system(spark, f"{path}/manifest.json")
+def _manifests(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the manifests in a folder."""
+    fs, where = _file_system(spark, path)
     if not fs.exists(where):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(where)]
+    return sorted(int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json"))
+
+
+def _prune(spark: SparkSession, path: str) -> None:
+    """Delete all but the newest manifests and the versions that they name."""
+    for number in _manifests(spark, path)[:-KEPT]:
+        name = f"{path}/manifest-{number:08d}.json"
+        try:
+            version = read_manifest(spark, path, number)["version"]
+            fs, where = _file_system(spark, f"{path}/{version}")
+            fs.delete(where, True)
+        except IndexFormatError:
+            pass  # a broken manifest names no version
+        fs, where = _file_system(spark, name)
+        fs.delete(where, False)
+
+
+def read_manifest(spark: SparkSession, path: str, number: int | None = None) -> dict:
+    """The manifest of a number, the newest if none is given."""
+    numbers = _manifests(spark, path)
+    if not numbers:
         raise IndexFormatError(f"{path} has no manifest")
+    _, where = _file_system(spark, f"{path}/manifest-{numbers[-1] if number is None else number:08d}.json")
     text = "".join(r["value"] for r in spark.read.text(where.toString()).collect())
     try:
         found = json.loads(text)

@@ -8,11 +8,13 @@ from pyspark.sql.window import Window
 
 from bundlewright.functions.paths import path_parts
 from bundlewright.functions.text import unique_tokens
-from bundlewright.operators.index import Index
+from bundlewright.operators.index import Index, term_bucket
 
 K1, B = 1.5, 0.75
 #: A search feeds at least so many chunks to the selection, however few are asked for.
 LEAST_TOP = 10
+#: Distinct terms whose names are sent to the scan of saved postings; more have no use there.
+PUSHED_TERMS = 2_000
 #: Query terms that may be broadcast; more are shuffled.
 BROADCAST_TERMS = 200_000
 
@@ -23,8 +25,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def sized(df: DataFrame, limit: int = BROADCAST_TERMS) -> DataFrame:
-    """Marked for broadcast if a count finds it small enough; else left to a shuffled join."""
-    return F.broadcast(df) if df.count() <= limit else df
+    """Marked for broadcast if it has no more rows than the limit; else left to a shuffled join. No more are counted than tell."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
 def candidate_files(terms: DataFrame, file_terms: DataFrame) -> DataFrame:
@@ -51,10 +53,19 @@ def bm25_scores(index: Index, queries: DataFrame, allowed: DataFrame | None = No
 
     Statistics are those of the whole corpus, even if ``allowed`` (chunk_id) leaves few chunks. The terms of all
     queries are sent to the postings, which are not shuffled if the terms are few; scores are summed before they
-    are shuffled.
+    are shuffled. Of saved postings only the folders of those terms are read.
     """
-    terms = sized(query_terms(queries).join(index.term_stats, "term"))
-    found = index.postings.join(terms, "term")
+    asked = query_terms(queries)
+    posted, stats = index.postings, index.term_stats
+    if "bucket" in posted.columns:
+        names = asked.select("term").distinct().limit(PUSHED_TERMS + 1).collect()
+        if len(names) <= PUSHED_TERMS:  # with more terms than that every folder has some
+            names = [r["term"] for r in names]
+            buckets = [r["b"] for r in asked.select(term_bucket(F.col("term")).alias("b")).distinct().collect()]
+            posted, stats = posted.where(F.col("bucket").isin(buckets) & F.col("term").isin(names)), stats.where(F.col("term").isin(names))
+        posted = posted.drop("bucket")
+    terms = sized(asked.join(stats, "term"))
+    found = posted.join(terms, "term")
     if allowed is not None:
         found = found.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
     found = found.crossJoin(F.broadcast(index.corpus_stats))  # one row

@@ -7,17 +7,19 @@ the items of ``benchmark``. Each runs over whole tables.
 from __future__ import annotations
 
 import re
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bundlewright.durable import checkpoint_dir
 from bundlewright.functions import paths, signatures, text
 from bundlewright.operators import chunking, evaluation, index, retrieval, selection
 from bundlewright.plans.engine import Engine
 from bundlewright.sources import files as sources
 
-TOP, EXACT, SLOTS = 50, 10, 32
+TOP, EXACT, SLOTS = 50, 10, signatures.SLOTS
 PATTERN = "[a-z]+tion[ .,]"
 
 
@@ -44,10 +46,24 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def built(spark: SparkSession, sf_dir: str) -> index.Index:
+def plan(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The plans of all tables, for queries that give the tables themselves."""
     return index.build_index(documents(spark, sf_dir), syntax=False, slots=SLOTS)
 
 
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def built(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The index of the documents, saved once for a session and opened for each query, as searches have it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        path = f"{checkpoint_dir(spark)}/catalogue-{uuid.uuid4().hex}"
+        plan(spark, sf_dir).save(path)
+        _BUILT[key] = path
+    return index.Index.load(spark, _BUILT[key])
+
+
 def _by_place(df: DataFrame, chunks: DataFrame, *columns) -> DataFrame:
     """With the chunk's file and first line in place of its id, which other engines can't compute."""
     return df.join(chunks.select("chunk_id", "file", "start_line"), "chunk_id").select("file", "start_line", *columns)
@@ -58,7 +74,7 @@ def chunk_lines(s, d, lines=chunking.LINES, overlap=chunking.OVERLAP):
 
 
 def tokenize_tf(s, d):
-    ix = built(s, d)
+    ix = plan(s, d)
     return _by_place(ix.postings, ix.chunks, "term", "tf")
 
 
@@ -67,24 +83,24 @@ def token_estimate(s, d):
 
 
 def term_df(s, d):
-    return built(s, d).term_stats
+    return plan(s, d).term_stats
 
 
 def doc_len(s, d):
-    ix = built(s, d)
+    ix = plan(s, d)
     return _by_place(ix.doc_stats, ix.chunks, "dl")
 
 
 def corpus_stats(s, d):
-    return built(s, d).corpus_stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+    return plan(s, d).corpus_stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
 def file_terms(s, d):
-    return built(s, d).file_terms
+    return plan(s, d).file_terms
 
 
 def index_stats(s, d):
-    return built(s, d).stats()
+    return plan(s, d).stats()
 
 
 def bm25_score(s, d):
@@ -119,7 +135,7 @@ def prescreen_candidates(s, d):
 
 
 def minhash_sig(s, d):
-    ix = built(s, d)
+    ix = plan(s, d)
     return _by_place(ix.minhash.where("sig is not null"), ix.chunks, F.array_join("sig", ",").alias("sig"))
 
 
@@ -196,6 +212,14 @@ def recall_mrr(s, d):
     return evaluation.recall_and_rank(top, evaluation.relevant_chunks(_golden(s, d), ix.chunks))
 
 
+def result_summary(s, d):
+    return evaluation.result_summary(Engine(built(s, d)).ranked(asked(s, d), TOP))
+
+
+def mean_metrics(s, d):
+    return evaluation.mean_metrics(recall_mrr(s, d), diversity(s, d))
+
+
 def diversity(s, d):
     ix = built(s, d)
     top = retrieval.top_chunks(retrieval.bm25_scores(ix, asked(s, d)), ix.chunks, 10).where("i <= 5")
@@ -235,7 +259,7 @@ QUERIES = {
     for f in (
         chunk_lines, tokenize_tf, token_estimate, term_df, doc_len, corpus_stats, file_terms, index_stats, bm25_score, bm25_topn, score_cutoff,
         select_files, prescreen_candidates, minhash_sig, jaccard_est, jaccard_exact, similarity_pairs, greedy_select, qubo_energy, qubo_exact,
-        search_bundle, serve_json, path_filters, glob_exclude, language_detect, recall_mrr, diversity, grep_counts, size_percentiles,
+        search_bundle, serve_json, path_filters, glob_exclude, language_detect, recall_mrr, diversity, mean_metrics, result_summary, grep_counts, size_percentiles,
         classify_queries, result_lines, synthetic_corpus, unit_chunks,
     )
 }
@@ -315,6 +339,14 @@ def _sql(final: str, **own: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({tables[n]})" for n in needed) + "\n" + final
 
 
+RECALL = """SELECT r.query_id, n_relevant, coalesce(hits, 0) AS hits, round(coalesce(hits, 0) / n_relevant, 6) AS recall, round(coalesce(1.0::DOUBLE / first_i, 0), 6) AS reciprocal_rank
+        FROM (SELECT query_id, count(*) AS n_relevant FROM relevant GROUP BY 1) r LEFT JOIN
+        (SELECT o.query_id, count(*) AS hits, min(i) AS first_i FROM ordered o JOIN relevant r ON o.query_id = r.query_id AND o.file = r.file AND o.start_line = r.start_line
+          WHERE i <= 5 GROUP BY 1) h ON r.query_id = h.query_id"""
+DIVERSITY = """SELECT q.query_id, round(1 - coalesce(sim, 0), 6) AS diversity FROM (SELECT DISTINCT query_id FROM grams) q LEFT JOIN
+        (SELECT a.query_id, avg(CASE WHEN len(a.t) + len(b.t) = 0 THEN 0 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END) AS sim
+          FROM grams a JOIN grams b ON a.query_id = b.query_id AND a.i < b.i GROUP BY 1) s ON q.query_id = s.query_id"""
+
 ORACLES = {
     "chunk_lines": _sql("SELECT file, start_line::INT AS start_line, end_line::INT AS end_line, greatest(1, octet_length(encode(text)) // 4)::INT AS token_est, text FROM chunks"),
     "chunk_lines_small": _sql(
@@ -379,17 +411,14 @@ ORACLES = {
     "language_detect": _sql(
         r"SELECT path, CASE lower(regexp_extract(path, '\.([^./]*)$', 1)) WHEN 'rs' THEN 'rust' WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' END AS language FROM named"
     ),
-    "recall_mrr": _sql(
-        """SELECT r.query_id, n_relevant, coalesce(hits, 0) AS hits, round(coalesce(hits, 0) / n_relevant, 6) AS recall, round(coalesce(1.0::DOUBLE / first_i, 0), 6) AS reciprocal_rank
-        FROM (SELECT query_id, count(*) AS n_relevant FROM relevant GROUP BY 1) r LEFT JOIN
-        (SELECT o.query_id, count(*) AS hits, min(i) AS first_i FROM ordered o JOIN relevant r ON o.query_id = r.query_id AND o.file = r.file AND o.start_line = r.start_line
-          WHERE i <= 5 GROUP BY 1) h ON r.query_id = h.query_id"""
-    ),
-    "diversity": _sql(
-        """SELECT q.query_id, round(1 - coalesce(sim, 0), 6) AS diversity FROM (SELECT DISTINCT query_id FROM grams) q LEFT JOIN
-        (SELECT a.query_id, avg(CASE WHEN len(a.t) + len(b.t) = 0 THEN 0 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END) AS sim
-          FROM grams a JOIN grams b ON a.query_id = b.query_id AND a.i < b.i GROUP BY 1) s ON q.query_id = s.query_id"""
+    "recall_mrr": _sql(RECALL),
+    "diversity": _sql(DIVERSITY),
+    "mean_metrics": _sql(
+        "SELECT * FROM (SELECT count(*) AS n_queries, round(avg(recall), 6) AS recall, round(avg(reciprocal_rank), 6) AS mrr FROM ranks), (SELECT round(avg(diversity), 6) AS diversity FROM diverse)",
+        ranks=RECALL,
+        diverse=DIVERSITY,
     ),
+    "result_summary": _sql("SELECT query_id, count(*) AS n_results, round(max(score), 6) AS top_score FROM top50 GROUP BY query_id"),
     "grep_counts": _sql(
         rf"""SELECT file, count(*) FILTER (n > 0) AS n_lines, sum(n)::BIGINT AS n_matches FROM
         (SELECT file, len(regexp_extract_all(unnest(string_split(content, chr(10))), '{PATTERN}')) AS n FROM files) GROUP BY 1 HAVING sum(n) > 0"""

@@ -92,15 +92,40 @@ def test_save_load_and_checks(spark, engine, tmp_path):
     assert sorted(map(tuple, Engine.load(spark, path).search(query).collect())) == want
     engine.index.save(path)
     assert Engine.load(spark, path).search(query).count() == len(want)
+    engine.index.save(path)
+    versions = lambda: sorted(p.name for p in (tmp_path / "index").iterdir() if p.name.startswith(("v-", "manifest")))
+    assert len(versions()) == 4 and versions()[:2] == ["manifest-00000002.json", "manifest-00000003.json"]
+    plan = retrieval.bm25_scores(Index.load(spark, path), query)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
     for broken in ("{", '{"format": "other"}', "[]"):
-        (tmp_path / "index" / "manifest.json").write_text(broken)
-        (tmp_path / "index" / ".manifest.json.crc").unlink(missing_ok=True)
+        (tmp_path / "index" / "manifest-00000009.json").write_text(broken)
         with pytest.raises(IndexFormatError):
             Index.load(spark, path)
     with pytest.raises(IndexFormatError):
         Index.load(spark, str(tmp_path / "nowhere"))
 
 
+def test_saved_tables_are_those_of_the_plans(spark, engine, tmp_path):
+    for syntax in (True, False):
+        made = build(spark, [*CORPUS, ("u.py", "import os\n\ndef one():\n    return outside_of_units\n\nloose_words = 1\n")], syntax=syntax, slots=16)
+        made.save(str(tmp_path / str(syntax)))
+        saved = Index.load(spark, str(tmp_path / str(syntax)))
+        for name in ("chunks", "postings", "term_stats", "doc_stats", "corpus_stats", "file_terms", "minhash"):
+            want = getattr(made, name)
+            assert sorted(map(str, getattr(saved, name).select(*want.columns).collect())) == sorted(map(str, want.collect())), name
+
+
+def test_relevant_chunks(spark, monkeypatch):
+    from bundlewright.operators import evaluation
+
+    monkeypatch.setattr(evaluation, "NEEDLES", 2)
+    chunks = spark.createDataFrame([(1, "Some TEXT here"), (2, "other"), (3, None), (4, "")], "chunk_id long, text string")
+    golden = spark.createDataFrame([(1, ["text", "her"]), (2, ["zzz"]), (3, [""]), (4, ["the", "ther", "text"]), (5, None)], "query_id long, needles array<string>")
+    assert sorted(map(tuple, evaluation.relevant_chunks(golden, chunks).collect())) == [(1, 1), (1, 2), (3, 1), (3, 2), (3, 4), (4, 1), (4, 2)]
+    ranks = spark.createDataFrame([(1, 0.5, 1.0), (2, 0.0, 0.25)], "query_id long, recall double, reciprocal_rank double")
+    assert tuple(evaluation.mean_metrics(ranks, spark.createDataFrame([(1, 0.9)], "query_id long, diversity double")).first()) == (2, 0.25, 0.625, 0.9)
+
+
 def test_serve(spark, engine):
     lines = ['{"query": "session token", "topk": 20}', "not json", "", '{"budget": 5}', '{"query": "zzz"}']
     got = {r.request_id: json.loads(r.response) for r in engine.serve(spark.createDataFrame(list(enumerate(lines)), "request_id long, line string")).collect()}
