@@ -6,8 +6,10 @@ the lower, the better.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 
 LAMBDA, MU, BUDGET = 0.5, 0.001, 4000
 HOTTEST, COLDEST, FLIPS, SEED = 5.0, 0.01, 5_000, 0xC0DEF00D
+#: Energies are whole numbers of this part while the annealer runs, so that any engine meets the same ones.
+UNIT = 256_000_000
 #: Items of which all choices are tried.
 EXACT_ITEMS = 12
 
@@ -83,18 +87,38 @@ def value(rel: np.ndarray, sim: np.ndarray, tok: np.ndarray, x: np.ndarray, budg
     return float(-rel[x].sum() + lam * np.triu(sim, 1)[np.ix_(x, x)].sum() + mu * over * over)
 
 
+def units(rel: np.ndarray, sim: np.ndarray, lam: float = LAMBDA) -> tuple[np.ndarray, np.ndarray]:
+    """Gains (of six digits) and costs of pairs in whole units."""
+    return np.rint(np.round(rel, 6) * UNIT).astype(np.int64), np.rint(lam * np.asarray(sim, dtype=float) * UNIT).astype(np.int64)
+
+
 def first_fit(rel: np.ndarray, tok: np.ndarray, budget: int) -> np.ndarray:
     x, used = np.zeros(len(rel), dtype=bool), 0
-    for i in np.argsort(-rel, kind="stable"):
+    for i in np.argsort(-np.round(rel, 6), kind="stable"):
         if used + tok[i] <= budget:
             x[i], used = True, used + tok[i]
     return x
 
 
+@lru_cache(8)
+def draws(flips: int = FLIPS, seed: int = SEED) -> tuple[list[int], list[int]]:
+    """(which, most) of each step: a number whose remainder is the item to flip, and the most units that a flip may cost there.
+
+    Both come from the digits of the MD5 of seed and step, which SQL has too; the second is ``-T ln u`` at a temperature that falls by the same factor at each step.
+    """
+    which, most = [], []
+    for k in range(flips):
+        digits = hashlib.md5(f"{seed}/{k}".encode()).hexdigest()
+        heat = HOTTEST * (COLDEST / HOTTEST) ** (k / max(1, flips - 1))
+        which.append(int(digits[:7], 16))
+        most.append(math.floor(-heat * math.log((int(digits[7:14], 16) + 0.5) / (1 << 28)) * UNIT))
+    return which, most
+
+
 def anneal(
     rel: np.ndarray, sim: np.ndarray, tok: np.ndarray, budget: int = BUDGET, lam: float = LAMBDA, mu: float = MU, flips: int = FLIPS, seed: int = SEED
 ) -> np.ndarray:
-    """The best choice met while cooling down from the greedy one; the same for the same input.
+    """The best choice met while cooling down from the greedy one, which it is never worse than; the same for the same input.
 
     What a flip would change is kept for each item, so a flip costs its row of similarities, not all pairs.
     """
@@ -102,35 +126,36 @@ def anneal(
     x = first_fit(rel, tok, budget)
     if not n:
         return x
-    sim = np.array(sim, dtype=float)
-    np.fill_diagonal(sim, 0.0)
-    rng = np.random.default_rng(seed)
-    which, draws = rng.integers(0, n, flips).tolist(), np.log(rng.random(flips)).tolist()
-    heat = (HOTTEST * (COLDEST / HOTTEST) ** (np.arange(flips) / max(1, flips - 1))).tolist()
-    field = (lam * (sim @ x) - rel).tolist()  # what an item adds while it isn't chosen, but for the budget
-    rows, sizes, on = (lam * sim), tok.tolist(), x.tolist()
-    field = np.array(field)
-    used, now, best, kept = int(tok[x].sum()), value(rel, sim, tok, x, budget, lam, mu), math.inf, x
-    best, kept = now, on[:]
-    over = lambda t: mu * max(0, t - budget) ** 2
-    for step in range(flips):
-        i = which[step]
+    gain, cost = units(rel, sim, lam)
+    np.fill_diagonal(cost, 0)
+    field = cost @ x - gain  # what an item adds while it isn't chosen, but for the budget
+    dear, sizes, on, used = round(mu * UNIT), tok.tolist(), x.tolist(), int(tok[x].sum())
+    now = best = 0
+    kept = on[:]
+
+    def over(t: int) -> int:
+        return dear * max(0, t - budget) ** 2
+
+    for number, most in zip(*draws(flips, seed)):
+        i = number % n
         sign = -1 if on[i] else 1
         then = used + sign * sizes[i]
-        delta = sign * field[i] + over(then) - over(used)
-        if delta <= 0 or draws[step] < -delta / heat[step]:
+        delta = sign * int(field[i]) + over(then) - over(used)
+        if delta <= most:
             on[i], used, now = not on[i], then, now + delta
-            field += sign * rows[i]
-            if now < best - 1e-12:
+            field += sign * cost[i]
+            if now < best:
                 best, kept = now, on[:]
-    chosen = np.array(kept, dtype=bool)
-    start = first_fit(rel, tok, budget)
-    return chosen if value(rel, sim, tok, chosen, budget, lam, mu) <= value(rel, sim, tok, start, budget, lam, mu) else start
+    return np.array(kept, dtype=bool)
 
 
 def annealed(items: DataFrame, pairs: DataFrame, budget: int = BUDGET, lam: float = LAMBDA, mu: float = MU, seed: int = SEED) -> DataFrame:
-    """(query_id, i) of the chosen items; each query, at most topk items, is solved by itself in a batch of rows."""
-    own = items.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("i", "rel", "tok"))).alias("items"))
+    """(query_id, i) of the chosen items; each query, at most topk items, is solved by itself in a batch of rows.
+
+    Items may have a ``budget`` of their query's own.
+    """
+    limit = F.max("budget") if "budget" in items.columns else F.max(F.lit(budget))
+    own = items.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("i", "rel", "tok"))).alias("items"), limit.cast("long").alias("budget"))
     near = pairs.groupBy("query_id").agg(F.collect_list(F.struct("i", "j", "sim")).alias("pairs"))
     problems = own.join(near, "query_id", "left")
     kind = problems.schema["query_id"].dataType.simpleString()
@@ -138,13 +163,13 @@ def annealed(items: DataFrame, pairs: DataFrame, budget: int = BUDGET, lam: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, chosen = [], []
-            for k, (item, pair) in enumerate(zip(batch.column("items").to_pylist(), batch.column("pairs").to_pylist())):
+            for k, (item, pair, most) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("items", "pairs", "budget")))):
                 place = {x["i"]: p for p, x in enumerate(item)}
                 sim = np.zeros((len(item), len(item)))
                 for p in pair or ():
                     a, b = place[p["i"]], place[p["j"]]
                     sim[a, b] = sim[b, a] = p["sim"]
-                x = anneal(np.array([v["rel"] for v in item]), sim, np.array([v["tok"] for v in item], dtype=np.int64), budget, lam, mu, seed=seed)
+                x = anneal(np.array([v["rel"] for v in item]), sim, np.array([v["tok"] for v in item], dtype=np.int64), most, lam, mu, seed=seed)
                 for p in np.flatnonzero(x):
                     rows.append(k)
                     chosen.append(item[p]["i"])

@@ -187,7 +187,10 @@ def search_bundle(s, d):
 
 def serve_json(s, d):
     ask = _table(s, d, "benchmark").select(F.col("item_id").alias("request_id"), F.to_json(F.struct(F.col("text").alias("query"))).alias("line"))
-    return Engine(built(s, d)).serve(ask)
+    answers = Engine(built(s, d)).serve(ask).select("request_id", F.from_json("response", "results array<struct<file:string,start_line:int,end_line:int,score:double,text:string>>").alias("r"))
+    each = F.transform("r.results", lambda x: F.format_string("%s:%d-%d %.3f", x["file"], x["start_line"], x["end_line"], F.round(x["score"], 6)))
+    sizes = F.aggregate("r.results", F.lit(0).cast("long"), lambda a, x: a + F.length(x["text"]))
+    return answers.select("request_id", F.size("r.results").alias("n_results"), F.array_join(each, "; ").alias("results"), sizes.alias("n_chars"))
 
 
 def path_filters(s, d):
@@ -315,6 +318,24 @@ COMMON = {
     "fits": f"""SELECT query_id, 0::BIGINT AS i, 0::BIGINT AS used, false AS chosen, 0::DOUBLE AS rel, 0::BIGINT AS tok FROM (SELECT DISTINCT query_id FROM top50)
       UNION ALL SELECT t.query_id, t.i, f.used + CASE WHEN f.used + t.tok <= {selection.BUDGET} THEN t.tok ELSE 0 END, f.used + t.tok <= {selection.BUDGET}, t.rel, t.tok
       FROM fits f JOIN top50 t ON t.query_id = f.query_id AND t.i = f.i + 1""",
+    "problem": f"""SELECT a.query_id, a.i - 1 AS p, any_value(a.tok) AS tok, any_value(round(round(a.rel, 6) * {selection.UNIT})::BIGINT) AS gain,
+      list(CASE WHEN a.i = b.i THEN 0 ELSE round({selection.LAMBDA} * coalesce(s.sim, 0) * {selection.UNIT})::BIGINT END ORDER BY b.i) AS cost, count(*) AS n
+      FROM top50 a JOIN top50 b ON a.query_id = b.query_id
+      LEFT JOIN pairs s ON s.query_id = a.query_id AND s.i = least(a.i, b.i) AND s.j = greatest(a.i, b.i) GROUP BY a.query_id, a.i""",
+    "draws": f"""SELECT k, ('0x' || substr(h, 1, 7))::BIGINT AS number,
+      floor(-{selection.HOTTEST}::DOUBLE * power({selection.COLDEST / selection.HOTTEST!r}::DOUBLE, k / {selection.FLIPS - 1}.0::DOUBLE) * ln((('0x' || substr(h, 8, 7))::BIGINT + 0.5::DOUBLE) / {1 << 28}.0::DOUBLE) * {selection.UNIT})::BIGINT AS most
+      FROM (SELECT k, md5(concat({selection.SEED}, '/', k)) AS h FROM range({selection.FLIPS}) t(k))""",
+    "walk": f"""SELECT f.query_id, 0::BIGINT AS k, sum(CASE WHEN chosen THEN 1::BIGINT << (f.i - 1) ELSE 0 END)::BIGINT AS x, sum(CASE WHEN chosen THEN tok ELSE 0 END)::BIGINT AS used,
+      count(*)::BIGINT AS n, 0::BIGINT AS now, 0::BIGINT AS best, sum(CASE WHEN chosen THEN 1::BIGINT << (f.i - 1) ELSE 0 END)::BIGINT AS kept FROM fits f WHERE f.i > 0 GROUP BY f.query_id
+      UNION ALL SELECT query_id, k + 1, CASE WHEN delta <= most THEN xor(x, 1::BIGINT << p) ELSE x END, CASE WHEN delta <= most THEN after ELSE used END, n,
+        CASE WHEN delta <= most THEN now + delta ELSE now END, CASE WHEN delta <= most AND now + delta < best THEN now + delta ELSE best END,
+        CASE WHEN delta <= most AND now + delta < best THEN xor(x, 1::BIGINT << p) ELSE kept END
+      FROM (SELECT *, sign * (alike - gain) + {round(selection.MU * selection.UNIT)} * (greatest(0, after - {selection.BUDGET}) ** 2 - greatest(0, used - {selection.BUDGET}) ** 2)::BIGINT AS delta
+        FROM (SELECT w.*, q.p, q.gain, d.most, 1 - 2 * ((w.x >> q.p) & 1) AS sign, w.used + (1 - 2 * ((w.x >> q.p) & 1)) * q.tok AS after,
+            list_sum(list_transform(q.cost, lambda c, j: CASE WHEN (w.x >> (j - 1)) & 1 = 1 THEN c ELSE 0 END))::BIGINT AS alike
+          FROM walk w JOIN draws d ON d.k = w.k JOIN problem q ON q.query_id = w.query_id AND q.p = d.number % w.n))""",
+    "bundle": f"""SELECT t.query_id, row_number() OVER (PARTITION BY t.query_id ORDER BY i) AS rank, file, start_line, end_line, rel, text
+      FROM top50 t JOIN walk w ON w.query_id = t.query_id AND w.k = {selection.FLIPS} AND (w.kept >> (i - 1)) & 1 = 1""",
     "named": """SELECT concat(CASE source WHEN 'src3' THEN 'vendor' WHEN 'src4' THEN 'node_modules/pkg' ELSE 'lib' END, '/', source, '/doc_', doc_id, '.',
       CASE lang WHEN 'en' THEN 'rs' WHEN 'fr' THEN 'py' WHEN 'de' THEN 'TS' WHEN 'es' THEN 'txt' END) AS path FROM documents""",
     "relevant": "SELECT query_id, file, start_line FROM chunks JOIN queries ON contains(lower(text), lower(query))",
@@ -336,7 +357,8 @@ def _sql(final: str, **own: str) -> str:
                     needed.append(name)
 
     need(final)
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({tables[n]})" for n in needed) + "\n" + final
+    # What a recursion reads at each step is computed once.
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in ('problem', 'draws', 'top50', 'pairs') else ''}({tables[n]})" for n in needed) + "\n" + final
 
 
 RECALL = """SELECT r.query_id, n_relevant, coalesce(hits, 0) AS hits, round(coalesce(hits, 0) / n_relevant, 6) AS recall, round(coalesce(1.0::DOUBLE / first_i, 0), 6) AS reciprocal_rank
@@ -404,6 +426,12 @@ ORACLES = {
           FROM masks m LEFT JOIN alike a ON m.query_id = a.query_id AND m.mask = a.mask
           UNION ALL SELECT DISTINCT query_id, 0, 0.0 FROM items""",
     ),
+    "search_bundle": _sql("SELECT query_id, rank::INT AS rank, file, start_line::INT AS start_line, end_line::INT AS end_line, round(rel, 6) AS score FROM bundle"),
+    "serve_json": _sql(
+        """SELECT q.query_id AS request_id, count(b.rank)::INT AS n_results,
+        coalesce(string_agg(format('{}:{}-{} {:.3f}', file, start_line, end_line, round(rel, 6)), '; ' ORDER BY rank), '') AS results, coalesce(sum(length(b.text)), 0)::BIGINT AS n_chars
+        FROM queries q LEFT JOIN bundle b ON b.query_id = q.query_id GROUP BY q.query_id"""
+    ),
     "path_filters": _sql(r"SELECT path FROM named WHERE lower(regexp_extract(path, '\.([^./]*)$', 1)) IN ('rs', 'ts') AND path NOT LIKE 'vendor/%' AND path NOT LIKE 'node_modules/%'"),
     "glob_exclude": _sql(
         r"SELECT path FROM named WHERE path NOT LIKE 'vendor/%' AND path NOT LIKE 'node_modules/%' AND path NOT LIKE '%/src1/%' AND NOT regexp_matches(path, '/doc_[^/]*7\.py$')"

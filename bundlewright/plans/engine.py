@@ -47,11 +47,17 @@ class Engine:
     ) -> DataFrame:
         """(query_id, rank, chunk_id, file, start_line, end_line, score, text): each query's bundle, best first.
 
-        Texts are read for the chosen chunks only.
+        Texts are read for the chosen chunks only. Queries may have a ``budget`` and a ``topk`` of their own.
         """
-        top = cut(self.ranked(queries, topk, min_ratio, files))  # read three times, and small: topk rows for each query
+        own = {"budget", "topk"} <= set(queries.columns)
+        if own:
+            topk = queries.agg(F.max("topk")).first()[0] or topk
+        top = self.ranked(queries.select("query_id", "query"), topk, min_ratio, files)
+        if own:
+            top = top.join(retrieval.sized(queries.select("query_id", "budget", "topk")), "query_id").where(F.col("i") <= F.greatest("topk", F.lit(retrieval.LEAST_TOP)))
+        top = cut(top)  # read three times, and small: topk rows for each query
         pairs = retrieval.similarity_pairs(top, self.index.minhash)
-        items = top.select("query_id", "i", "rel", F.col("token_est").alias("tok"))
+        items = top.select("query_id", "i", "rel", F.col("token_est").alias("tok"), *(["budget"] if own else []))
         chosen = top.join(selection.annealed(items, pairs, budget), ["query_id", "i"], "left_semi")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("i"))
         chosen = chosen.withColumn("rank", rank)
@@ -70,30 +76,24 @@ class Engine:
         """(request_id, response) of JSON requests (request_id, line).
 
         A request has a query, and may have a budget and topk; the response has its results, or an error. An
-        empty line has no response. Requests are searched together by their limits, so there is one search for each pair of those.
+        empty line has no response. All requests are searched together.
         """
         read = requests.where(F.trim("line") != "").select("request_id", F.from_json("line", REQUEST).alias("r"), "line")
-        read = read.select(
-            "request_id", F.col("r.query").alias("query"), F.coalesce("r.budget", F.lit(BUDGET)).alias("budget"), F.coalesce("r.topk", F.lit(TOPK)).alias("topk")
+        read = cut(
+            read.select(
+                "request_id", F.col("r.query").alias("query"), F.coalesce("r.budget", F.lit(BUDGET)).alias("budget"), F.coalesce("r.topk", F.lit(TOPK)).alias("topk")
+            )
         )
-        read = cut(read)
         good = read.where(F.col("query").isNotNull())
-        limits = sorted((r["budget"], r["topk"]) for r in good.select("budget", "topk").distinct().collect())
-        one = F.struct("rank", "file", "start_line", "end_line", "score", "text")
-        out = read.where(F.col("query").isNull()).select(
-            "request_id", F.to_json(F.struct(F.lit("the request is not JSON with a query").alias("error"))).alias("response")
+        bad = read.where(F.col("query").isNull()).select("request_id", F.to_json(F.struct(F.lit("the request is not JSON with a query").alias("error"))).alias("response"))
+        found = self.search(good.withColumnRenamed("request_id", "query_id"))
+        lists = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "file", "start_line", "end_line", "score", "text"))).alias("results"))
+        plain = F.transform("results", lambda x: x.dropFields("rank"))
+        none = F.array().cast("array<struct<file:string,start_line:int,end_line:int,score:double,text:string>>")
+        answered = good.join(lists, good["request_id"] == lists["query_id"], "left").select(
+            "request_id", F.to_json(F.struct(F.coalesce(plain, none).alias("results"))).alias("response")
         )
-        for budget, topk in limits:
-            asked = good.where((F.col("budget") == budget) & (F.col("topk") == topk)).select(F.col("request_id").alias("query_id"), "query")
-            found = self.search(asked.select("query_id", "query"), int(budget), int(topk))
-            lists = found.groupBy("query_id").agg(F.sort_array(F.collect_list(one)).alias("results"))
-            plain = F.transform("results", lambda x: x.dropFields("rank"))
-            none = F.array().cast("array<struct<file:string,start_line:int,end_line:int,score:double,text:string>>")
-            answered = asked.join(lists, "query_id", "left").select(
-                F.col("query_id").alias("request_id"), F.to_json(F.struct(F.coalesce(plain, none).alias("results"))).alias("response")
-            )
-            out = out.unionByName(answered)
-        return out
+        return bad.unionByName(answered)
 
 
 def as_text(results: DataFrame) -> DataFrame:
