@@ -45,7 +45,7 @@ EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.2, 0.01
 #: Bits of a feature's number.
 BITS = 20
 #: Characters of text whose features are made at a time; a longer text is taken alone.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 17
 
 
 @lru_cache(1)
@@ -132,11 +132,13 @@ class Model:
 
     def vectors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(feature, value, first): the texts' TF-IDF vectors."""
-        feature, count, first = grams(texts)
+        parts = [grams(p) for p in slices(texts)] or [grams([])]
+        feature, count = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        each = np.concatenate([np.diff(p[2]) for p in parts])
         x = (1.0 + np.log(count)) * self.idf[feature]
-        total = np.concatenate([[0.0], np.cumsum(x * x)])[first]
-        norm = np.sqrt(np.maximum(np.diff(total), 1e-300))
-        return feature, x / np.repeat(norm, np.diff(first)), first
+        row = np.repeat(np.arange(len(each)), each)
+        norm = np.sqrt(np.maximum(np.bincount(row, weights=x * x, minlength=len(each)), 1e-300))
+        return feature, x / norm[row], np.concatenate([[0], np.cumsum(each)])
 
     def logits(self, feature: np.ndarray, x: np.ndarray, first: np.ndarray) -> np.ndarray:
         if self._places is None:
@@ -144,10 +146,10 @@ class Model:
             self._places[self.features] = np.arange(len(self.features))
         on = np.flatnonzero(self._places[feature] < len(self.features))
         place, value = self._places[feature[on]], x[on]
-        edges = np.searchsorted(on, first)
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first))[on]
         out = np.empty((len(first) - 1, len(self.classes)))
         for k in range(len(self.classes)):
-            out[:, k] = np.diff(np.concatenate([[0.0], np.cumsum(value * self.weights[place, k])])[edges])
+            out[:, k] = np.bincount(row, weights=value * self.weights[place, k], minlength=len(out))
         return out + self.bias
 
     def probabilities(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
