@@ -108,6 +108,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             for part in slices(batch.column(0).to_pylist()):
                 df += np.bincount(grams(part)[0], minlength=1 << BITS)
+            words.give_back()
         found = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(df[found])], ["feature", "df"])
 
@@ -260,6 +261,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", label: st
         rows = pd.concat(held) if held else pd.DataFrame({"doc_id": [], "text": [], "lang": [], "draw": []})
         rows = rows.sort_values(["draw", "doc_id", "text"], kind="stable")
         fitted = fit(model, rows["text"].tolist(), rows["lang"].tolist()) if len(rows) else model
+        del held, rows
+        words.give_back()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fitted)], pa.binary())], ["model"])
 
     return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()["model"])
@@ -293,6 +296,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str =
                 [batch.column(0), pa.array(lang, pa.string()), pa.array(confidence, pa.float64()), pa.array(keep, pa.bool_())],
                 ["doc_id", "lang", "confidence", "keep"],
             )
+            words.give_back()
 
     return narrow.mapInArrow(run, f"doc_id {kind}, lang string, confidence double, keep boolean")
 
@@ -303,7 +307,9 @@ def accepted(docs: DataFrame, model: Model, text: str = "text", min_confidence:
 
     @F.pandas_udf("boolean")
     def keep(texts: pd.Series) -> pd.Series:
-        return pd.Series(verdicts(shared.value, texts.tolist(), min_confidence)[2], dtype=bool)
+        kept = pd.Series(verdicts(shared.value, texts.tolist(), min_confidence)[2], dtype=bool)
+        words.give_back()
+        return kept
 
     return docs.where(keep.asNondeterministic()(F.col(f"`{text}`")))
 

@@ -290,7 +290,7 @@ def _contexts(keyed: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
             ends_at = np.cumsum(counts)
             flat = lists.flatten()
             gram, kind_of, pos, span = (flat.field(k).to_numpy() for k in range(4))
-            for at, data, offsets in words.slices(batch.column("text"), 1 << 20):
+            for at, data, offsets in words.slices(batch.column("text")):
                 start, end, first = words.find(data, offsets, words.SOLID)
                 rows = len(offsets) - 1
                 low, high = (ends_at[at - 1] if at else 0), ends_at[at + rows - 1]
@@ -664,6 +664,7 @@ def cut_out(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
         out = [t if s is None else _without(t, [(x["a"], x["b"]) for x in s]) for t, s in zip(texts, lists)]
         return pd.Series(out, dtype=object)
 
+    less = less.asNondeterministic()  # else the filter below gets a call, and a worker, of its own
     key, at, new_text = (free_name(docs, n) for n in ("_cut_key", "_cut_spans", "_cut_text"))
     lists = lists.toDF(key, at)
     lists = F.broadcast(lists) if small_enough(lists.count(), 20_000) else lists

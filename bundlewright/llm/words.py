@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are taken at a time; a longer text is taken alone.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that are taken at a time; a longer text is taken alone. Results don't depend on it, but arrays of many times this size are made.
+SLICE_BYTES = 1 << 19
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # only glibc has it
+    _trim = None
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -25,6 +30,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def give_back() -> None:
+    """Return freed memory to the system. A worker is kept between tasks, and else keeps what its largest task freed."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets): the column's rows in runs of about ``most`` bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -45,7 +57,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.
         last = min(last, n)
         yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _scripts(data: np.ndarray, solid: np.ndarray, inside: np.ndarray) -> np.ndarray:

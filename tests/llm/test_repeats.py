@@ -1,7 +1,13 @@
+import ctypes
 import random
+import resource
 from collections import defaultdict
 
+import pyarrow as pa
+import pytest
+
 from bundlewright.llm import repeats as R
+from bundlewright.llm import words
 
 
 def brute(docs, least):
@@ -194,3 +200,26 @@ def test_a_long_text(spark):
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert R.repeats(empty).count() == 0 and R.cut_out(empty).count() == 0
+
+
+def test_one_python_node_cuts(spark, small):
+    """A filter on the cut text must not call the function again: each node of a task holds a worker of its own."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    plan = R.cut_out(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [less") == 1
+
+
+def test_slices_give_memory_back():
+    if not hasattr(ctypes.CDLL(None), "malloc_trim"):
+        pytest.skip("only glibc keeps freed memory")
+
+    def held():
+        with open("/proc/self/statm") as file:
+            return int(file.read().split()[1]) * resource.getpagesize() / 1e6
+
+    blocks = [b"x" * 100_000 for _ in range(1001)]
+    last = blocks.pop()  # above the others, so that they can't go by themselves
+    del blocks
+    before = held()
+    assert sum(len(data) for _, data, _ in words.slices(pa.array(["a", None, "b"]))) == 2 and len(last) == 100_000
+    assert held() < before - 80
