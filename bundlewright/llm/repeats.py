@@ -508,6 +508,7 @@ def _found(contexts: DataFrame, known: int, reach: int) -> DataFrame:
                 held.append(batch.slice(a, b - a))
                 if sink.held > 50_000:
                     yield from sink.batches()
+            words.give_back()
         if held:
             treat(pa.Table.from_batches(held), sink)
             yield from sink.batches()

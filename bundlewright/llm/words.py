@@ -38,7 +38,7 @@ def give_back() -> None:
 
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets): the column's rows in runs of about ``most`` bytes; null is empty."""
+    """(first row, bytes, offsets): the column's rows in runs of about ``most`` bytes; null is empty. After several runs memory is given back."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     kind = pa.large_binary()
@@ -57,7 +57,8 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.
         last = min(last, n)
         yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
-    give_back()
+    if offsets[n] - offsets[0] > most:
+        give_back()
 
 
 def _scripts(data: np.ndarray, solid: np.ndarray, inside: np.ndarray) -> np.ndarray:

@@ -221,5 +221,12 @@ def test_slices_give_memory_back():
     last = blocks.pop()  # above the others, so that they can't go by themselves
     del blocks
     before = held()
-    assert sum(len(data) for _, data, _ in words.slices(pa.array(["a", None, "b"]))) == 2 and len(last) == 100_000
+    assert sum(len(data) for _, data, _ in words.slices(pa.array(["a", None, "b"]), 1)) == 2 and len(last) == 100_000
     assert held() < before - 80
+
+
+def test_small_columns_give_nothing_back(monkeypatch):
+    """A column of one slice isn't worth a call: groups of occurrences have many such columns."""
+    calls = []
+    monkeypatch.setattr(words, "give_back", lambda: calls.append(1))
+    assert [len(data) for _, data, _ in words.slices(pa.array(["a", None, "b"]))] == [2] and not calls
