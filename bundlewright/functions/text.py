@@ -54,6 +54,12 @@ def trigram_jaccard(a: Column, b: Column) -> Column:
     return F.when(every > 0, shared / every).otherwise(F.lit(0.0))
 
 
+def three_digits(number: Column) -> Column:
+    """As C writes ``%.3f``: the number itself is rounded, not its shortest digits, which ``format_string`` rounds."""
+    written = F.call_function("format_number", number, F.lit("0.000"))
+    return F.when(F.abs(number) == 0.0005, F.format_string("%.3f", number)).otherwise(written)  # the one that Java's format takes for a tie
+
+
 def is_relevant(text: Column, needles: Column) -> Column:
     """Whether a lower-cased text has one of the needles in it."""
     lowered = F.lower(text)

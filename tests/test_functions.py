@@ -29,6 +29,12 @@ def test_sizes_and_trigrams(spark):
     assert one(spark, fn.truncate(F.col("t"), 3), t="héllo") == "hél"
 
 
+def test_three_digits_are_those_of_c(spark):
+    numbers = [k * 1000 / 1e6 + 0.0005 for k in range(1000)] + [k / 16 for k in range(40)] + [0.0005, 0.8125, 0.1235, 1.0, 0.0]
+    got = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", fn.text.three_digits(F.col("x")).alias("s")).collect()
+    assert all(r.s == f"{r.x:.3f}" for r in got)
+
+
 def test_relevance_and_kinds(spark):
     assert one(spark, fn.is_relevant(F.col("t"), F.col("n")), t="Some TEXT here", n=["no", "text"]) and not one(spark, fn.is_relevant(F.col("t"), F.col("n")), t="x", n=["y"])
     kinds = {"fn main": "ast", "foo.*bar": "regex", "how are files read in": "semantic", "two words": "lexical"}
