@@ -22,10 +22,27 @@ def unique_tokens(text: Column) -> Column:
     return F.array_distinct(tokens(text))
 
 
+def counted(words: Column) -> Column:
+    """(term, tf) of each distinct one of an array of tokens, by term; null without any. Counted within the row, where equal ones stand together once sorted."""
+
+    def runs(s: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+
+    def pairs(x: Column) -> Column:
+        s, starts = x["s"], x["starts"]
+        return F.transform(starts, lambda at, k: F.struct(F.get(s, at).alias("term"), (F.coalesce(F.get(starts, k + 1), F.size(s)) - at).alias("tf")))
+
+    bound = F.transform(F.array(F.sort_array(words)), lambda s: F.when(F.size(s) > 0, F.struct(s.alias("s"), runs(s).alias("starts"))))
+    return F.transform(bound, pairs)[0]
+
+
 def lines_of(text: Column) -> Column:
     """The lines of a text, each without its end, be it LF or CR LF; text that ends with LF has no last empty line."""
-    parts = F.split(text, "\n")
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+    def whole(parts: Column) -> Column:  # bound once; else each use would split the text again
+        return F.slice(parts, F.lit(1), F.size(parts) - (F.element_at(parts, -1) == "").cast("int"))
+
+    parts = F.transform(F.array(F.split(text, "\n")), whole)[0]
     return F.transform(parts, lambda x: F.regexp_replace(x, r"\r\z", ""))
 
 

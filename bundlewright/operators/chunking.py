@@ -40,7 +40,7 @@ def line_windows(files: DataFrame, lines: int = LINES, overlap: int = OVERLAP) -
     split = files.where(F.octet_length("content") > 0).select("file", lines_of(F.col("content")).alias("all"))
     split = split.withColumn("n", F.size("all"))
     last = F.greatest(F.lit(0), F.ceil((F.col("n") - lines) / stride)).cast("int")
-    windows = split.where("n > 0").select("file", "all", "n", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    windows = split.select("file", "all", "n", F.explode(F.sequence(F.lit(0), last)).alias("k"))
     start = F.col("k") * stride
     return _numbered(
         windows.select(

@@ -80,6 +80,11 @@ class Index:
     slots: int = SLOTS
     whole: bool = False
 
+    @property
+    def saved(self) -> bool:
+        """Whether the tables are read from a saved index; else they are plans."""
+        return "bucket" in self.postings.columns
+
     def save(self, path: str) -> None:
         """Write all tables to a folder of a new version, then a manifest of the next number: readers take the newest, and never see half of one.
 

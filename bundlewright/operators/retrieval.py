@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from bundlewright.durable import cut
 from bundlewright.functions.paths import path_parts
+from bundlewright.functions.signatures import jaccard_estimate
 from bundlewright.functions.text import unique_tokens
-from bundlewright.operators.index import Index, term_bucket
+from bundlewright.operators.index import Index, signatures, term_bucket
 
 K1, B = 1.5, 0.75
 #: A search feeds at least so many chunks to the selection, however few are asked for.
@@ -57,7 +59,7 @@ def bm25_scores(index: Index, queries: DataFrame, allowed: DataFrame | None = No
     """
     asked = query_terms(queries)
     posted, stats = index.postings, index.term_stats
-    if "bucket" in posted.columns:
+    if index.saved:
         names = asked.select("term").distinct().limit(PUSHED_TERMS + 1).collect()
         if len(names) <= PUSHED_TERMS:  # with more terms than that every folder has some
             names = [r["term"] for r in names]
@@ -99,11 +101,25 @@ def chunks_of(chunks: DataFrame, files: DataFrame) -> DataFrame:
     return chunks.join(files.select("file").distinct(), "file", "left_semi")
 
 
-def similarity_pairs(top: DataFrame, minhash: DataFrame) -> DataFrame:
-    """(query_id, i, j, sim), i < j: the estimated Jaccard of each two of a query's chunks; at most topk squared for each query."""
-    from bundlewright.functions.signatures import jaccard_estimate
+def chosen_chunks(top: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The chunks that ``top`` (file, chunk_id) names. It is read twice, and sent to the texts if it is small: those are
+    not shuffled, and where chunks are plans, files without any aren't cut."""
+    some = chunks.join(sized(top.select("file").distinct()), "file", "left_semi")
+    return some.join(sized(top.select("chunk_id").distinct()), "chunk_id", "left_semi").select(chunks.columns)
 
-    signed = top.select("query_id", "i", "chunk_id").join(minhash, "chunk_id", "left")
+
+def with_texts(top: DataFrame, chunks: DataFrame) -> DataFrame:
+    """With the ``text`` of each chunk."""
+    return top.join(chosen_chunks(top, chunks).select("chunk_id", "text"), "chunk_id")
+
+
+def similarity_pairs(top: DataFrame, index: Index) -> DataFrame:
+    """(query_id, i, j, sim), i < j: the estimated Jaccard of each two of a query's chunks; at most topk squared for each query.
+
+    Where the index isn't saved, signatures are made of those chunks only.
+    """
+    minhash = index.minhash if index.saved else signatures(chosen_chunks(top, index.chunks), index.slots)
+    signed = cut(top.select("query_id", "i", "chunk_id").join(minhash, "chunk_id", "left"))  # read twice
     a = signed.select("query_id", "i", F.col("sig").alias("sig_i"))
     b = signed.select("query_id", F.col("i").alias("j"), F.col("sig").alias("sig_j"))
     pairs = a.join(b, "query_id").where("i < j")

@@ -230,7 +230,7 @@ def test_served_scores_have_the_digits_of_sql(spark, tmp_path, monkeypatch):
 
     spark.createDataFrame([(1, "any")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     results = [{"file": "a", "start_line": 1, "end_line": 2, "score": x, "text": "four"} for x in (0.8125, 0.1235, 0.0625, 1.0)]
-    monkeypatch.setattr(catalogue, "built", lambda *_: Index(*(None,) * 7))
+    monkeypatch.setattr(catalogue, "plan", lambda *_: Index(*(None,) * 7))
     monkeypatch.setattr(Engine, "serve", lambda *_: spark.createDataFrame([(1, json.dumps({"results": results}))], "request_id long, response string"))
     row = catalogue.serve_json(spark, str(tmp_path)).first()
     assert row.results == "; ".join(f"a:1-2 {r['score']:.3f}" for r in results) and (row.n_results, row.n_chars) == (4, 16)
