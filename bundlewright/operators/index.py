@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bundlewright.errors import IndexFormatError
 from bundlewright.functions.signatures import SLOTS, minhash
-from bundlewright.functions.text import tokens, unique_tokens
+from bundlewright.functions.text import counted, tokens, unique_tokens
 from bundlewright.operators.chunking import LINES, OVERLAP, chunks
 
 FORMAT = "bundlewright-2"
@@ -24,24 +24,26 @@ CHUNKS_EACH = 2_000_000
 KEPT = 2
 
 
-def postings(chunk_table: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf, dl): dl, the chunk's number of tokens, is kept here to save scoring a join."""
-    return _counted(chunk_table.select("chunk_id", tokens(F.col("text")).alias("all")))
+def postings(chunk_table: DataFrame, *names: str) -> DataFrame:
+    """(term, chunk_id, tf, dl): dl, the chunk's number of tokens, is kept here to save scoring a join. Other ``names`` of a chunk may be there for its id. No shuffle."""
+    names = names or ("chunk_id",)
+    return _counted(chunk_table.select(*names, tokens(F.col("text")).alias("all")), *names)
 
 
-def _counted(words: DataFrame) -> DataFrame:
-    each = words.select("chunk_id", F.size("all").alias("dl"), F.explode("all").alias("term"))
-    return each.groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf")).select("term", "chunk_id", "tf", "dl")
+def _counted(words: DataFrame, *names: str) -> DataFrame:
+    each = words.select(*names, F.size("all").alias("dl"), F.explode(counted(F.col("all"))).alias("c"))
+    return each.select("c.term", *names, "c.tf", "dl")
 
 
 def term_stats(posting_table: DataFrame) -> DataFrame:
-    """(term, df): in how many chunks each term is."""
+    """(term, df): in how many chunks each term is; ``posting_table`` has one row for each chunk of a term."""
     return posting_table.groupBy("term").agg(F.count(F.lit(1)).cast("int").alias("df"))
 
 
-def doc_stats(chunk_table: DataFrame) -> DataFrame:
-    """(chunk_id, dl) of the chunks that have a token."""
-    return chunk_table.select("chunk_id", F.size(tokens(F.col("text"))).alias("dl")).where("dl > 0")
+def doc_stats(chunk_table: DataFrame, *names: str) -> DataFrame:
+    """(chunk_id, dl) of the chunks that have a token, or other ``names`` for the id."""
+    sizes = F.filter(F.array(F.size(tokens(F.col("text")))), lambda n: n > 0)  # a filter of rows would split each text again
+    return chunk_table.select(*(names or ("chunk_id",)), F.explode(sizes).alias("dl"))
 
 
 def corpus_stats(doc_table: DataFrame) -> DataFrame:
@@ -102,7 +104,7 @@ class Index:
         chunk_table = put("chunks", self.chunks)
         words = put("_words", chunk_table.select("chunk_id", "file", tokens(F.col("text")).alias("all")))
         parts = 1 + words.count() // CHUNKS_EACH
-        posted = _counted(words.select("chunk_id", "all")).withColumn("bucket", term_bucket(F.col("term")))
+        posted = _counted(words.select("chunk_id", "all"), "chunk_id").withColumn("bucket", term_bucket(F.col("term")))
         posted = posted.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(parts))).sortWithinPartitions("bucket", "term", "chunk_id")
         put("term_stats", term_stats(put("postings", posted, "bucket")))
         put("corpus_stats", corpus_stats(put("doc_stats", words.select("chunk_id", F.size("all").alias("dl")).where("dl > 0"))))
@@ -141,7 +143,8 @@ def build_index(files: DataFrame, lines: int = LINES, overlap: int = OVERLAP, sy
     table = chunks(files, lines, overlap, syntax)
     posted = postings(table)
     lengths = doc_stats(table)
-    return Index(table, posted, term_stats(posted), lengths, corpus_stats(lengths), file_terms(files), signatures(table, slots), slots, not syntax)
+    seen = table.select(F.explode(unique_tokens(F.col("text"))).alias("term"))
+    return Index(table, posted, term_stats(seen), lengths, corpus_stats(lengths), file_terms(files), signatures(table, slots), slots, not syntax)
 
 
 def _file_system(spark: SparkSession, path: str):

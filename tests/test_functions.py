@@ -63,3 +63,10 @@ def test_minhash(spark):
     pairs = df.alias("a").crossJoin(df.alias("b")).select(F.col("a.i").alias("i"), F.col("b.i").alias("j"), fn.jaccard_estimate(F.col("a.s"), F.col("b.s")).alias("e"))
     got = {(r.i, r.j): r.e for r in pairs.collect()}
     assert got[0, 0] == 1.0 and abs(got[0, 1] - 1 / 3) < 0.15 and got[0, 2] < 0.05 and got[3, 3] == got[0, 3] == 0.0
+
+
+def test_counted_within_the_row(spark):
+    words = ["b", "é", "a", "b", "日", "a", "b"]
+    assert [tuple(x) for x in one(spark, fn.text.counted(F.col("t")), t=words)] == [("a", 2), ("b", 3), ("é", 1), ("日", 1)]
+    assert [tuple(x) for x in one(spark, fn.text.counted(F.col("t")), t=["x"])] == [("x", 1)]
+    assert one(spark, fn.text.counted(F.filter("t", lambda w: w == "none")), t=words) is None

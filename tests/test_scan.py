@@ -111,3 +111,13 @@ def test_a_batch_builds_no_index(spark, small, name, monkeypatch):
     monkeypatch.setattr(Index, "save", never)
     monkeypatch.setattr(retrieval, "bm25_scores", never)
     same_rows(spark, small, name)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+@pytest.mark.parametrize("name", ["tokenize_tf", "doc_len"])
+def test_terms_are_counted_without_a_shuffle(spark, small, name):
+    assert exchanges(catalogue.QUERIES[name](spark, small)) == 0
+    same_rows(spark, small, name)
