@@ -124,7 +124,25 @@ class Index:
         return cls(**{name: spark.read.parquet(f"{path}/{manifest['version']}/{name}") for name in TABLES})
 
     def stats(self) -> DataFrame:
-        """One row: files with a token, chunks, chunks with a token, their mean length, terms, signatures."""
+        """One row: files with a token, chunks, chunks with a token, their mean length, terms, signatures.
+
+        Of plans whose chunks cover the files all are counted in one pass, by key: a row for each chunk's file and one for each of its terms.
+        """
+        if self.whole and not self.saved:
+            words = self.chunks.select("file", tokens(F.col("text")).alias("all"))
+            own = F.struct(F.lit(None).cast("string").alias("term"), "file", F.size("all").alias("dl"))
+            terms = F.transform(F.array_distinct("all"), lambda t: F.struct(t.alias("term"), F.lit(None).cast("string").alias("file"), F.lit(0).alias("dl")))
+            keys = words.select(F.explode(F.concat(F.array(own), terms)).alias("x")).groupBy("x.term", "x.file")
+            each = keys.agg(F.count_if(F.col("x.term").isNull()).alias("chunks"), F.count_if(F.col("x.dl") > 0).alias("docs"), F.sum("x.dl").alias("dl"))
+            docs = F.coalesce(F.sum("docs"), F.lit(0))
+            return each.agg(
+                F.count_if(F.col("docs") > 0).alias("n_files"),
+                F.coalesce(F.sum("chunks"), F.lit(0)).alias("n_chunks"),
+                docs.alias("n_docs"),
+                F.round(F.greatest(F.lit(1.0), F.coalesce(F.sum("dl") / F.nullif(docs, F.lit(0)), F.lit(0.0))), 6).alias("avgdl"),
+                F.count("term").alias("vocabulary"),
+                docs.alias("n_signatures"),
+            )
         counts = [
             self.file_terms.agg(F.count_distinct("file").alias("n_files")),
             self.chunks.agg(F.count(F.lit(1)).alias("n_chunks")),

@@ -121,3 +121,11 @@ def exchanges(df):
 def test_terms_are_counted_without_a_shuffle(spark, small, name):
     assert exchanges(catalogue.QUERIES[name](spark, small)) == 0
     same_rows(spark, small, name)
+
+
+def test_stats_take_one_pass(spark, small, corpus):
+    plan = catalogue.index_stats(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+    same_rows(spark, small, "index_stats")
+    same_rows(spark, small, "term_df")
+    assert tuple(build_index(corpus[0].limit(0), syntax=False).stats().first()) == (0, 0, 0, 1.0, 0, 0)
