@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import random
 
 import numpy as np
@@ -24,6 +25,15 @@ def term_hash(term: Column) -> Column:
     return F.conv(F.substring(F.md5(term), 1, 7), 16, 10).cast("long")
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker is kept between tasks, and else keeps what its largest batch freed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def _least(k: int):
     """An Arrow function from arrays of term hashes to their signatures; whole batches at once."""
     a, b = (np.array(x, dtype=np.int64)[:, None] for x in zip(*coefficients(k)))
@@ -43,6 +53,8 @@ def _least(k: int):
             slots = (a * flat[low : ends[full[to - 1]]] + b) % PRIME
             out[at:to] = np.minimum.reduceat(slots, ends[full[at:to]] - sizes[full[at:to]] - low, axis=1).T
             at = to
+        del flat, lists, hashes
+        give_back()
         places = np.concatenate([[0], np.cumsum(sizes > 0) * k]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(places), pa.array(out.reshape(-1)), mask=pa.array(sizes == 0))
 

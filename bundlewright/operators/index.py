@@ -62,9 +62,9 @@ def term_bucket(term) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def signatures(chunk_table: DataFrame, k: int = SLOTS) -> DataFrame:
-    """(chunk_id, sig); null for a chunk without tokens."""
-    return chunk_table.select("chunk_id", minhash(unique_tokens(F.col("text")), k).alias("sig"))
+def signatures(chunk_table: DataFrame, k: int = SLOTS, *names: str) -> DataFrame:
+    """(chunk_id, sig), or other ``names`` for the id; null for a chunk without tokens."""
+    return chunk_table.select(*(names or ("chunk_id",)), minhash(unique_tokens(F.col("text")), k).alias("sig"))
 
 
 @dataclass

@@ -129,3 +129,9 @@ def test_stats_take_one_pass(spark, small, corpus):
     same_rows(spark, small, "index_stats")
     same_rows(spark, small, "term_df")
     assert tuple(build_index(corpus[0].limit(0), syntax=False).stats().first()) == (0, 0, 0, 1.0, 0, 0)
+
+
+def test_signatures_are_made_once_without_a_shuffle(spark, small):
+    made = catalogue.minhash_sig(spark, small)
+    assert exchanges(made) == 0 and made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    same_rows(spark, small, "minhash_sig")
