@@ -100,7 +100,7 @@ def same_rows(spark, small, name):
 
 
 #: Each is a batch of queries over files without an index.
-BATCHES = ["mean_metrics", "jaccard_est"]
+BATCHES = ["mean_metrics", "jaccard_est", "qubo_exact"]
 
 
 @pytest.mark.parametrize("name", BATCHES)
