@@ -100,7 +100,7 @@ def same_rows(spark, small, name):
 
 
 #: Each is a batch of queries over files without an index.
-BATCHES = ["mean_metrics", "jaccard_est", "qubo_exact", "result_summary", "recall_mrr", "bm25_topn"]
+BATCHES = ["mean_metrics", "jaccard_est", "qubo_exact", "result_summary", "recall_mrr", "bm25_topn", "score_cutoff"]
 
 
 @pytest.mark.parametrize("name", BATCHES)
