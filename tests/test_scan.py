@@ -100,7 +100,7 @@ def same_rows(spark, small, name):
 
 
 #: Each is a batch of queries over files without an index.
-BATCHES = ["mean_metrics", "jaccard_est", "qubo_exact", "result_summary", "recall_mrr", "bm25_topn", "score_cutoff", "qubo_energy", "similarity_pairs", "search_bundle", "prescreen_candidates", "diversity", "jaccard_exact", "bm25_score"]
+BATCHES = ["mean_metrics", "jaccard_est", "qubo_exact", "result_summary", "recall_mrr", "bm25_topn", "score_cutoff", "qubo_energy", "similarity_pairs", "search_bundle", "prescreen_candidates", "diversity", "jaccard_exact", "bm25_score", "greedy_select", "select_files", "serve_json", "result_lines"]
 
 
 @pytest.mark.parametrize("name", BATCHES)
