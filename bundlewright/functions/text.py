@@ -77,6 +77,11 @@ def three_digits(number: Column) -> Column:
     return F.when(F.abs(number) == 0.0005, F.format_string("%.3f", number)).otherwise(written)  # the one that Java's format takes for a tie
 
 
+def six_digits(number: Column) -> Column:
+    """As SQL's ``round(number, 6)``: a million times the number is rounded, where Spark rounds its shortest digits."""
+    return F.round(number * 1e6) / 1e6
+
+
 def is_relevant(text: Column, needles: Column) -> Column:
     """Whether a lower-cased text has one of the needles in it."""
     lowered = F.lower(text)

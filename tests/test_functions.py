@@ -70,3 +70,12 @@ def test_counted_within_the_row(spark):
     assert [tuple(x) for x in one(spark, fn.text.counted(F.col("t")), t=words)] == [("a", 2), ("b", 3), ("é", 1), ("日", 1)]
     assert [tuple(x) for x in one(spark, fn.text.counted(F.col("t")), t=["x"])] == [("x", 1)]
     assert one(spark, fn.text.counted(F.filter("t", lambda w: w == "none")), t=words) is None
+
+
+def test_six_digits_are_those_of_sql(spark):
+    import duckdb
+
+    some = [(a / b,) for b in (640, 128, 320, 1600, 997) for a in range(b)]
+    want = [x for (x,) in duckdb.sql("SELECT round(x, 6) FROM (SELECT unnest($1) AS x)", params=[[x for (x,) in some]]).fetchall()]
+    got = [r.x for r in spark.createDataFrame(some, "x double").select(fn.text.six_digits(F.col("x")).alias("x")).collect()]
+    assert got == want and got[41] == 0.064062
